@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-CACHE = 1 << 18
+CACHE = 1 << 19
 #: The public split pattern of byte-level BPE vocabularies (fixed value).
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: Pieces that are one pre-token, or a word and signs, whatever follows; a shortcut for SPLIT.
+WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)")
 #: Any character that may count as white space somewhere, but for the plain space.
 SPACES = frozenset(map(chr, [*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
 
@@ -166,17 +169,26 @@ class Encoder:
         self.v = v = Vocabulary(path)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, v.special)) + ")") if v.special else None
 
-        class Ids(dict):
+        class Words(dict):
+            def __missing__(self, word: str) -> bytes:
+                self[word] = x = np.array(v.encode_word(word.encode()), "<u4").tobytes() if word else b""
+                return x
+
+        self.words = words = Words()
+
+        class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
-                ids = [i for w in SPLIT.findall(piece) for i in v.encode_word(w.encode())]
-                self[piece] = x = np.array(ids, "<u4").tobytes()
+                m = WORD.fullmatch(piece)
+                parts = m.groups() if m else SPLIT.findall(piece)
+                self[piece] = x = b"".join(map(words.__getitem__, parts))
                 return x
 
-        self.cache = Ids()
+        self.cache = Pieces()
 
     def encode(self, text: str) -> bytes:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        for cache in (self.cache, self.words):
+            if len(cache) > CACHE:
+                cache.clear()
         get = self.cache.__getitem__
         if self.cut is None or not self.cut.search(text):
             return b"".join(map(get, words_of(text))) if text else b""
@@ -224,21 +236,20 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def round_trip_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded from its ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded, and decoded from its ids, in one pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = encoder(vocabulary).v
-        decimal = np.array([str(i) + "," for i in range(len(v.bytes_of))], dtype=object)
+        own = encoder(vocabulary)
+        decimal = np.array([str(i) + "," for i in range(len(own.v.bytes_of))], dtype=object)
         for pdf in batches:
             n, ids_sha, text_sha = [], [], []
-            for b in pdf["ids"]:
-                ids = np.frombuffer(b, "<u4")
+            for t in pdf["text_"]:
+                ids = np.frombuffer(own.encode(t), "<u4")
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256("".join(decimal[ids].tolist())[:-1].encode()).hexdigest())
-                text = v.decode(ids).decode("utf-8", "replace")
+                text = own.v.decode(ids).decode("utf-8", "replace")
                 text_sha.append(hashlib.sha256(text.encode()).hexdigest())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
 
-    return encode_documents(docs, vocabulary).mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text_"))
+    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,6 +5,7 @@
 2. Each class gets TREES labels of DEPTH MinHash values.  A tree is the order of the classes by their
    label; classes that share a prefix are neighbours there.  Regions start at the prefix length
    FIRST; a region with more than REGION classes is split by one more value, up to DEPTH.
+   A region that is dense even then is cut into bands of set sizes; similar sets share a band.
 3. Classes of a small region are compared pair by pair.  A region that stays dense is compared with
    a pivot, the member closest to the consensus of the region's signatures; as long as members lie
    outside the region's largest component, a new pivot is taken from them, and in the end each of
@@ -13,6 +14,10 @@
 4. Links (100 * |A & B| >= threshold * |A | B|) become connected components by alternating large and
    small stars, written to shared storage in each round.
 
+A pair is looked at in full only if the sizes of its sets allow the similarity and the lowest bits of
+its MinHash values disagree in no more places than six standard deviations above the mean for a
+pair at the threshold (a chance under 1e-7 to lose such a pair).
+
 Chance of missing a pair at the threshold in all trees: (1 - 0.85**3)**20 = 5e-9, and at the full depth
 of a dense region (1 - 0.85**5)**20 = 8e-6.  Work and shuffled rows grow with the number of classes times TREES.
 """
@@ -20,6 +25,7 @@ of a dense region (1 - 0.85**5)**20 = 8e-6.  Work and shuffled rows grow with th
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,20 +83,29 @@ def signature(shingles: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, digest (of the whole set), signature; n is 0 and the rest null without words."""
+    """doc_id, n, digest (of the whole set), signature, s1 and s2 (its lowest bits); n is 0 and the rest null without words."""
+
+    def lowest(sig: np.ndarray) -> np.ndarray:
+        bits = np.zeros(128, np.uint8)
+        bits[: len(sig)] = sig & 1
+        return np.packbits(bits).view(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, odd = WordHashes(), _constants()
         for pdf in batches:
             sets = [shingle_set(t, size, words) for t in pdf["text_"]]
+            sigs = [signature(s, odd) if len(s) else None for s in sets]
+            bits = [(0, 0) if g is None else lowest(g) for g in sigs]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"),
                 "n": [len(s) for s in sets],
                 "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "signature": [signature(s, odd).tobytes() if len(s) else None for s in sets],
+                "signature": [None if g is None else g.tobytes() for g in sigs],
+                "s1": [b[0] for b in bits],
+                "s2": [b[1] for b in bits],
             })
 
-    return docs.mapInPandas(run, "doc_id long, n long, digest binary, signature binary")
+    return docs.mapInPandas(run, "doc_id long, n long, digest binary, signature binary, s1 long, s2 long")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -116,35 +131,49 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text_"))
     sig = scratch.write(signatures(docs, shingle))
     full = sig.where("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch.write(full.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "signature")).alias("r")).select("digest", "r.*"))
-    reps = classes.select(F.col("doc_id").alias("rep"), "n", "signature")
+    classes = scratch.write(full.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "signature", "s1", "s2")).alias("r")).select("digest", "r.*"))
+    reps = classes.select(F.col("doc_id").alias("rep"), "n", "signature", "s1", "s2")
+    agree = (1 + threshold / 100) / 2
+    far = math.ceil(TREES * DEPTH * (1 - agree) + 6 * math.sqrt(TREES * DEPTH * agree * (1 - agree)))
+    #: whether members x and y may reach the threshold
+    may = f"100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) AND bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) <= {far}"
 
     # regions: (tree, prefix), deeper where dense
     width = 4 * DEPTH
-    entries = reps.select(
-        "rep", "n",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("signature", t * width + 1, F.lit(width)))).alias("tree", "label"),
-    )
-    small, live = [], entries
-    for depth in range(FIRST, DEPTH + 1):
-        keyed = live.withColumn("cell", F.concat(F.chr(F.col("tree") + 65).cast("binary"), F.substring("label", 1, 4 * depth)))
+    member = ["rep", "n", "s1", "s2"]
+    labels = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("signature", t * width + 1, F.lit(width)))
+    entries = reps.select(*member, F.posexplode(labels).alias("tree", "label"))
+
+    def regions(keyed: DataFrame, *more: str) -> DataFrame:
         size = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        held = scratch.write(keyed.join(size, "cell").select("cell", "rep", "n", "tree", "label", "m"))
-        small.append(held.where(F.col("m") <= REGION).select("cell", "rep", "n"))
-        live = held.where(F.col("m") > REGION).select("rep", "n", "tree", "label")
+        return scratch.write(keyed.join(size, "cell").select("cell", *member, *more, "m"))
+
+    cells, live = [], entries
+    for depth in range(FIRST, DEPTH + 1):
+        prefix = F.concat(F.chr(F.col("tree") + 65).cast("binary"), F.substring("label", 1, 4 * depth))
+        held = regions(live.withColumn("cell", prefix), "tree", "label")
+        cells.append(held.where(F.col("m") <= REGION).select("cell", *member))
+        live = held.where(F.col("m") > REGION).drop("m", "cell")
         if live.isEmpty():
             break
-    dense = held.where(F.col("m") > REGION).select("cell", "rep", "n")
+    dense = held.where(F.col("m") > REGION).select("cell", *member)
     crowded = not dense.isEmpty()
-    cells = small[0]
-    for s in small[1:]:
-        cells = cells.unionByName(s)
-    pair = "filter(flatten(transform(g, x -> transform(filter(g, y -> y.rep > x.rep), y -> struct(x.rep AS a, x.n AS na, y.rep AS b, y.n AS nb)))), p -> 100 * least(p.na, p.nb) >= {t} * greatest(p.na, p.nb))"
-    pairs = cells.groupBy("cell").agg(F.collect_list(F.struct("rep", "n")).alias("g")).select(F.expr(f"inline({pair.format(t=threshold)})"))
-    pairs = pairs.select("a", "b").distinct()
-
-    wanted = cells.select("rep").unionByName(dense.select("rep")).distinct()
-    texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
+    if crowded:
+        band = F.floor(F.log("n") / -math.log(threshold / 100) + 1e-9)
+        banded = dense.withColumn("band", F.explode(F.array(band, band - 1)))
+        held = regions(banded.withColumn("cell", F.concat("cell", F.lit("/").cast("binary"), F.col("band").cast("string").cast("binary"))))
+        cells.append(held.where(F.col("m") <= REGION).select("cell", *member))
+        dense = scratch.write(held.where(F.col("m") > REGION).select("cell", *member))
+        crowded = not dense.isEmpty()
+    small = cells[0]
+    for c in cells[1:]:
+        small = small.unionByName(c)
+    pairs = small.groupBy("cell").agg(F.collect_list(F.struct(*member)).alias("g"))
+    inner = f"transform(filter(g, y -> y.rep > x.rep AND {may}), y -> struct(x.rep AS a, y.rep AS b))"
+    pairs = scratch.write(pairs.select(F.expr(f"inline(flatten(transform(g, x -> {inner})))")).distinct())
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(dense.select(F.col("rep").alias("doc_id"))).distinct()
+    texts = docs.join(wanted, "doc_id")
     sets = scratch.write(shingle_sets(texts, shingle))
 
     def verify(candidates: DataFrame) -> DataFrame:
@@ -157,7 +186,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
 
     def against_pivot(members: DataFrame, free: DataFrame) -> DataFrame:
         """Pairs of every member with the pivot of its region, taken among ``free``."""
-        signed = free.join(reps.select("rep", "signature"), "rep").select("cell", "rep", "signature")
+        signed = free.select("cell", "rep").join(reps, "rep").select("cell", *member, "signature")
         order = Window.partitionBy("cell").orderBy(F.xxhash64("rep"), "rep")
         sample = signed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).drop("k")
 
@@ -169,13 +198,13 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
         def agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 same = [int((np.frombuffer(s, ">u4") == np.frombuffer(m, ">u4")).sum()) for s, m in zip(pdf["signature"], pdf["mode"], strict=True)]
-                yield pd.DataFrame({"cell": pdf["cell"], "rep": pdf["rep"], "same": same})
+                yield pdf[["cell", *member]].assign(same=same)
 
         modes = sample.groupBy("cell").applyInPandas(consensus, "cell binary, mode binary")
-        close = signed.join(modes, "cell").mapInPandas(agreement, "cell binary, rep long, same int")
-        pivot = close.groupBy("cell").agg(F.max_by("rep", F.struct("same", -F.col("rep"))).alias("pivot"))
-        ends = F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")
-        return members.join(pivot, "cell").where("rep <> pivot").select(*ends).distinct()
+        close = signed.join(modes, "cell").mapInPandas(agreement, "cell binary, rep long, n long, s1 long, s2 long, same int")
+        pivot = close.groupBy("cell").agg(F.max(F.struct("same", *member)).alias("y"))
+        met = members.select("cell", F.struct(*member).alias("x")).join(pivot, "cell").where(f"x.rep <> y.rep AND {may}")
+        return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
     first = pairs.unionByName(against_pivot(dense, dense)).distinct() if crowded else pairs
     links = scratch.write(verify(first))
@@ -183,14 +212,15 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
     for turn in range(PIVOT_ROUNDS if crowded else 0):
         placed = dense.join(comp.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
         main = placed.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-        free = scratch.write(placed.join(main, "cell").where("c <> main").select("cell", "rep", "c"))
+        free = scratch.write(placed.join(main, "cell").where("c <> main").select("cell", *member, "c"))
         if free.isEmpty():
             break
         if turn < PIVOT_ROUNDS - 1:
             more = against_pivot(dense, free)
         else:
-            x, y = free.select("cell", F.col("rep").alias("x"), F.col("c").alias("cx")), placed.select("cell", F.col("rep").alias("y"), F.col("c").alias("cy"), "n")
-            more = x.join(y, "cell").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            x, y = free.select("cell", "c", F.struct(*member).alias("x")), placed.select("cell", F.col("c").alias("cy"), F.struct(*member).alias("y"))
+            more = x.join(y, "cell").where(f"c <> cy AND {may}")
+            more = more.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         links = scratch.write(links.unionByName(verify(more)).distinct())
         comp = scratch.write(components(links, scratch))
 

@@ -13,6 +13,7 @@ sum-of-squares does not grow in proportion to a shard, so more input means more
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,31 +24,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .bpe import byte_alphabet
 from .common import Scratch, text_of
 
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 250_000
-CACHE = 1 << 18
+CACHE = 1 << 19
+#: Printable stand-ins of the 256 bytes in byte-level vocabularies, by byte.
+BYTES = {b: c for c, b in byte_alphabet().items()}
+SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: The vocabulary's split pattern (fixed value), for the characters that SIMPLE admits.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+class PartIds(dict):
+    """lower-case pre-token in Latin letters, digits or ASCII signs -> ids as bytes, straight from the merges."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        self.shown = {c: "".join(BYTES[b] for b in chr(c).encode()) for c in range(0x21, 0x100)}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(part.translate(self.shown))]
+        self[part] = x = np.array(ids, "<u4").tobytes()
+        return x
 
 
 class WordIds(dict):
-    """piece of text without white space -> ids as bytes, from the tokenizers library."""
+    """piece of text without white space -> ids as bytes.
+
+    Pieces of ASCII signs and Latin-1 letters, where normalising is lower-casing alone, are cut by
+    the vocabulary's pattern and each part is merged once; all others, and special tokens, go
+    through the tokenizers library as a whole.
+    """
 
     def __init__(self, path: str):
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.parts = PartIds(self.tok.model)
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = x = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if SIMPLE.fullmatch(word) and "<|" not in word:
+            x = b"".join(map(self.parts.__getitem__, PARTS.findall(word.lower())))
+        else:
+            x = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = x
         return x
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text; white space parts words for this vocabulary, so words are looked up one by one."""
         if len(self) > CACHE:
             self.clear()
+        if len(self.parts) > CACHE:
+            self.parts.clear()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
