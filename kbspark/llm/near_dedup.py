@@ -39,6 +39,7 @@ from .graph import components
 TREES, DEPTH, FIRST = 20, 5, 3
 REGION = 16
 SAMPLE = 256
+BLOCK = 128
 PIVOT_ROUNDS = 3
 CACHE = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -206,6 +207,37 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
         met = members.select("cell", F.struct(*member).alias("x")).join(pivot, "cell").where(f"x.rep <> y.rep AND {may}")
         return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
+    def across(free: DataFrame, placed: DataFrame) -> DataFrame:
+        """Links between free members and members of other components of their region.
+
+        Members meet in blocks, so a row holds two bounded lists of sets, and only links leave it.
+        """
+        size = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+
+        def blocks(d: DataFrame, name: str) -> DataFrame:
+            full_sets = d.select("cell", "rep", "c").join(sets.withColumnRenamed("doc_id", "rep"), "rep").join(size, "cell")
+            part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK))
+            return full_sets.groupBy("cell", part.alias(name + "_part")).agg(F.collect_list(F.struct("rep", "c", "shingles")).alias(name))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                a, b = [], []
+                for xs, ys in zip(pdf["x"], pdf["y"], strict=True):
+                    lens = np.array([len(y["shingles"]) for y in ys])
+                    flat, starts = np.concatenate([y["shingles"] for y in ys]), np.cumsum(lens) - lens
+                    reps, cs = np.array([y["rep"] for y in ys]), np.array([y["c"] for y in ys])
+                    for x in xs:
+                        own = np.sort(np.asarray(x["shingles"]))
+                        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                        both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+                        hit = (100 * both >= threshold * (len(own) + lens - both)) & (cs != x["c"])
+                        a += np.minimum(reps[hit], x["rep"]).tolist()
+                        b += np.maximum(reps[hit], x["rep"]).tolist()
+                yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+        met = blocks(free, "x").join(blocks(placed, "y"), "cell").select("x", "y")
+        return met.mapInPandas(run, "a long, b long").distinct()
+
     first = pairs.unionByName(against_pivot(dense, dense)).distinct() if crowded else pairs
     links = scratch.write(verify(first))
     comp = scratch.write(components(links, scratch))
@@ -215,13 +247,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
         free = scratch.write(placed.join(main, "cell").where("c <> main").select("cell", *member, "c"))
         if free.isEmpty():
             break
-        if turn < PIVOT_ROUNDS - 1:
-            more = against_pivot(dense, free)
-        else:
-            x, y = free.select("cell", "c", F.struct(*member).alias("x")), placed.select("cell", F.col("c").alias("cy"), F.struct(*member).alias("y"))
-            more = x.join(y, "cell").where(f"c <> cy AND {may}")
-            more = more.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        links = scratch.write(links.unionByName(verify(more)).distinct())
+        more = verify(against_pivot(dense, free)) if turn < PIVOT_ROUNDS - 1 else across(free, placed)
+        links = scratch.write(links.unionByName(more).distinct())
         comp = scratch.write(components(links, scratch))
 
     found = (
