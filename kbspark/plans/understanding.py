@@ -82,8 +82,8 @@ GATE = rf"""{BM25}, t5 AS (SELECT query_id, chunk_id FROM (SELECT *, row_number(
 tr AS (SELECT query_id, unnest(l) AS w, len(l) AS n FROM (SELECT query_id, list(w ORDER BY i)[:3] AS l FROM (SELECT query_id, w, min(i) AS i FROM (SELECT item_id AS query_id, unnest(m) AS w, unnest(range(len(m))) AS i
   FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{{5,}}') AS m FROM benchmark)) GROUP BY ALL) GROUP BY query_id)),
 hw AS (SELECT t5.query_id, chunk_id, w, n, regexp_matches(lower(text), '(^|[^a-z0-9_.-])' || w || '($|[^a-z0-9_.-])') AS ok FROM t5 JOIN tr USING (query_id) JOIN documents ON doc_id = chunk_id),
-sf AS (SELECT query_id, CASE WHEN query_id % 2 = 1 THEN bool_or(whole) ELSE max(matched) >= max(CASE WHEN n = 1 THEN 1 ELSE least(n, greatest(2, ceil(n / 2))) END) END AS sufficient
-  FROM (SELECT query_id, chunk_id, n, bool_and(ok) AS whole FROM hw GROUP BY ALL) JOIN (SELECT query_id, count(*) AS matched FROM (SELECT query_id, w FROM hw GROUP BY ALL HAVING bool_or(ok)) GROUP BY ALL) USING (query_id) GROUP BY query_id)"""
+sf AS (SELECT query_id, CASE WHEN query_id % 2 = 1 THEN bool_or(whole) ELSE coalesce(max(matched), 0) >= max(CASE WHEN n = 1 THEN 1 ELSE least(n, greatest(2, ceil(n / 2))) END) END AS sufficient
+  FROM (SELECT query_id, chunk_id, n, bool_and(ok) AS whole FROM hw GROUP BY ALL) LEFT JOIN (SELECT query_id, count(*) AS matched FROM (SELECT query_id, w FROM hw GROUP BY ALL HAVING bool_or(ok)) GROUP BY ALL) USING (query_id) GROUP BY query_id)"""
 
 
 @query("F7", f"WITH {GATE} SELECT query_id, sufficient FROM sf")

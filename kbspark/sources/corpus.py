@@ -20,7 +20,7 @@ def read_corpus(spark: SparkSession, path: str, suffix: str) -> DataFrame:
         raise ValueError(f"no reader for {suffix}")
     if kind == "parquet":
         return spark.read.parquet(path)
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     files = files.select(basename(F.input_file_name()).alias("filename"), F.col("value").alias("content"))
     return files.where(file_suffix(F.col("filename")) == suffix)
 
