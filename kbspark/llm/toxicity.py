@@ -6,11 +6,13 @@ trained from document labels alone and afterwards point at the sentences to blam
 
 Training uses at most about :data:`MAX_TRAIN_DOCS` labelled rows, chosen by a hash of the id, and runs
 in one task of bounded size; everything else is a narrow pass over whole texts.  Words are hashed to
-2**BITS features; words that occur in fewer than :data:`MIN_DOCS` training documents weigh nothing.
+2**BITS features; words that occur in fewer than :data:`MIN_DOCS` training documents, or in toxic ones
+no more often than chance allows, weigh nothing.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,7 +27,8 @@ from .common import Scratch, crc_mod, text_of
 MAX_TRAIN_DOCS = 20_000
 BITS = 18
 MIN_DOCS = 3
-EPOCHS = 12
+CHANCE = 1.0  # words expected to pass the screen by chance
+EPOCHS, MIN_UPDATES = 12, 600
 CACHE = 1 << 18
 SENTENCE = re.compile(r"[.!?\n]+")
 EDGE = ".,;:!?\"'()[]{}*#$%&|-_<>"
@@ -51,19 +54,27 @@ def sentences(text: str) -> list[str]:
 def fit_weights(docs: list[tuple[int, list[np.ndarray]]]) -> tuple[np.ndarray, float]:
     """Minimise the log loss of noisy-or over (label, sentences as arrays of features) by Adagrad."""
     size = 1 << BITS
-    df = np.zeros(size, np.int32)
-    for _, bags in docs:
+    df, toxic = np.zeros(size), np.zeros(size)
+    for y, bags in docs:
         if bags:
-            df[np.unique(np.concatenate(bags))] += 1
-    use = df >= MIN_DOCS
+            f = np.unique(np.concatenate(bags))
+            df[f] += 1
+            toxic[f] += y
+    # words that toxic documents hold no more often than chance explains (Chernoff bound) weigh nothing
+    often = df >= MIN_DOCS
+    base = min(max(sum(y for y, _ in docs) / max(1, len(docs)), 1e-6), 1 - 1e-6)
+    share = np.clip(toxic / np.maximum(df, 1), 1e-12, 1 - 1e-12)
+    surprise = df * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+    use = often & (share > base) & (surprise > math.log(max(1, often.sum()) / CHANCE))
     w, g2, b, gb2 = np.zeros(size), np.full(size, 1e-6), -6.0, 1e-6
     rng = np.random.default_rng(7)
     packed = []
     for y, bags in docs:
         bags = [f[use[f]] for f in bags]
         packed.append((y, np.concatenate(bags) if bags else np.zeros(0, np.int64), np.array([len(f) for f in bags], np.int64)))
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(len(packed)), max(1, len(packed) // 128)):
+    batches = max(1, len(packed) // 128)
+    for _ in range(max(EPOCHS, -(-MIN_UPDATES // batches))):  # few documents are seen more often
+        for part in np.array_split(rng.permutation(len(packed)), batches):
             rows = [packed[i] for i in part if len(packed[i][2])]
             if not rows:
                 continue
@@ -76,7 +87,7 @@ def fit_weights(docs: list[tuple[int, list[np.ndarray]]]) -> tuple[np.ndarray, f
             total = np.bincount(doc, soft, minlength=len(rows))
             pull = np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0)
             gz = pull[doc] * np.exp(z - soft) / len(rows)
-            g = np.bincount(f, gz[sent], minlength=size) + 1e-6 * w
+            g = np.bincount(f, gz[sent], minlength=size) + 1e-5 * w
             g2 += g * g
             w -= 0.3 * g / np.sqrt(g2) * use
             gb2 += gz.sum() ** 2
