@@ -151,6 +151,26 @@ def test_many_variants_of_one_line_form_one_group(spark):
     assert sum(r.n_dropped == 0 for r in out) <= 8
 
 
+def test_edited_lines_meet(spark):
+    """Recall of pairs at the similarity, as brute force finds them, for lines of 10 to 100 words."""
+    rng = random.Random(21)
+    texts, pairs = [], 0
+    for n in (10, 15, 20, 27, 40, 60, 100):
+        for k in range(10):
+            b = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+            c = list(b)
+            c[rng.randrange(n)] = "other"
+            if k % 2 and n >= 40:
+                c.insert(rng.randrange(n), "one")
+            a, z = " ".join(b), " ".join(c)
+            if similar(a, z):
+                texts += [a, z]
+                pairs += 1
+    out = line_dedup.line_dedup(docs(spark, texts)).collect()
+    assert pairs >= 60 and sum(r.n_dropped for r in out) >= 0.95 * pairs
+    assert all(r.doc_id % 2 for r in out if r.n_dropped)
+
+
 # --- 4 quality
 
 def test_em_finds_the_bad_labeller():
