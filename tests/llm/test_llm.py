@@ -171,6 +171,25 @@ def test_edited_lines_meet(spark):
     assert all(r.doc_id % 2 for r in out if r.n_dropped)
 
 
+def test_links_past_a_more_frequent_line(spark):
+    """Lines of the same words are compared with each other, and with the neighbours of a line they are similar to."""
+    rng = random.Random(22)
+    a = words(rng, 40, 5000)
+    shuffled = a[20:] + a[:20]
+    texts = [" ".join(a)] * 3 + [" ".join(shuffled), " ".join([*shuffled[:5], shuffled[6], shuffled[5], *shuffled[7:]])]
+    out = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
+    assert out == {0: 0, 1: 1, 2: 1, 3: 0, 4: 1}
+    # h ~ a and a ~ b, but not h ~ b
+    h = words(rng, 80, 5000)
+    swap = lambda w, at: [*w[:at], w[at + 1], w[at], *w[at + 2 :]]
+    a = swap(swap(swap(swap(h, 10), 20), 30), 40)
+    b = [*a[:50], "x" * 30, *a[56:]]
+    h, a, b = " ".join(h), " ".join(a), " ".join(b)
+    assert similar(h, a) and similar(a, b) and not similar(h, b)
+    out = line_dedup.line_dedup(docs(spark, [h] * 3 + [a, b])).collect()
+    assert sum(r.n_dropped for r in out) == 4
+
+
 # --- 4 quality
 
 def test_em_finds_the_bad_labeller():
