@@ -190,6 +190,14 @@ def test_links_past_a_more_frequent_line(spark):
     assert sum(r.n_dropped for r in out) == 4
 
 
+def test_short_and_unspaced_lines_take_part(spark):
+    han = "机器学习模型的训练数据需要去除重复的行以及近似重复的内容才能得到更好的结果这一点很重要"
+    lines = ["Menu", "read more", "Read more!", "---", "***", "---", "menu", "subscribe now", "subscribe new", han, han + "。", han[:20] + "们" + han[20:], " ", "ok", "ok", "\t\t\t", "\t\t\t"]
+    out = line_dedup.line_dedup(docs(spark, ["\n".join(lines[:5]), "\n".join(lines[5:])])).collect()
+    left = [line for r in sorted(out, key=lambda r: r.doc_id) for line in r.text.split("\n")]
+    assert left == ["Menu", "read more", "---", "***", "subscribe now", han, " ", "ok", "ok", "\t\t\t", "\t\t\t"]
+
+
 # --- 4 quality
 
 def test_em_finds_the_bad_labeller():
