@@ -8,34 +8,51 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting that removes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """Intermediate tables in the folder that all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests, local
-    mode) a temporary folder of this machine is used.  A table that has been written cuts the
-    lineage, survives lost executors, and gives later plans exact sizes.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, a session in one
+    process (``local[n]``, as in tests) uses a temporary folder; any other session is told to
+    set it.  A table that has been written cuts the lineage, survives lost executors, and gives
+    later plans exact sizes; the shuffle files that it took go when it is written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kbspark-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="kbspark-")
         self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return it as read back."""
+    def write(self, df: DataFrame, *drop: DataFrame | None) -> DataFrame:
+        """Write ``df`` and return it as read back; ``drop``: tables that nothing else reads after this."""
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        for table in drop:
+            self.drop(table)
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        """Delete a table that ``write`` returned and no later plan reads."""
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that ``write`` returned and no later plan reads."""
+        for table in tables:
+            path = getattr(table, "_scratch_path", None)
+            if path:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_of(name: str) -> Column:
@@ -46,3 +63,11 @@ def text_of(name: str) -> Column:
 def crc_mod(name: str, m: int) -> Column:
     """crc32 of the id written as decimal text, modulo ``m``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit(""))) % F.lit(m)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` bears it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

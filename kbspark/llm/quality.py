@@ -6,8 +6,9 @@ patterns estimates each labeller's accuracy per class and the share of good docu
 of a pattern is the soft label of its documents; a linear scorer over hashed words, word shapes and
 repetition is trained on those and scores every document.
 
-The scorer is fitted on at most about MAX_TRAIN_DOCS documents chosen by a hash of the id, in one
-task of bounded size; the votes are counted over all documents.  No hand-made label is used.
+The scorer is fitted on at most about MAX_TRAIN_DOCS documents of about MAX_TRAIN_CHARS characters in all,
+chosen by a hash of the id, in one task of bounded size; the votes are counted over all documents.  No
+hand-made label is used.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
 
-MAX_TRAIN_DOCS = 20_000
+MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 20_000, 200_000_000
 BITS = 18
 EPOCHS = 8
-CACHE = 1 << 18
 #: Common function words of English, French, German and Spanish.
 FUNCTION_WORDS = (
     "the of and to in is for that it with as on was be by this are or an at from "
@@ -37,18 +39,33 @@ FUNCTION_WORDS = (
 LABELLERS = ("capitals", "symbols", "repetition", "function_words", "sentences", "word_length", "lines")
 
 
-def votes(text: Column) -> dict[str, Column]:
-    """Each labeller's vote on a text: 1 good, 0 bad, null for no opinion."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    n, chars = F.size(words), F.length(text)
-    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
-    upper = F.length(F.regexp_replace(text, r"\P{Lu}+", ""))
-    symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s.,]+", ""))
-    ends = F.regexp_count(text, F.lit(r"[.!?]+(\s|$)"))
-    distinct = F.size(F.array_distinct(words))
-    function = F.size(F.filter(words, lambda w: w.isin(FUNCTION_WORDS)))
-    lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s) != "")
-    distinct_lines = F.size(F.array_distinct(lines))
+def measures(texts: DataFrame) -> DataFrame:
+    """``texts`` (with a column text) plus the counts that the labellers look at; words and lines are cut once per text."""
+    cut = texts.select(
+        "*",
+        F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("words_"),
+        F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "").alias("lines_"),
+    )
+    counts = {
+        "n": F.size("words_"),
+        "distinct": F.size(F.array_distinct("words_")),
+        "function": F.size(F.filter("words_", lambda w: w.isin(FUNCTION_WORDS))),
+        "lines": F.size("lines_"),
+        "distinct_lines": F.size(F.array_distinct("lines_")),
+        "chars": F.length("text"),
+        "letters": F.length(F.regexp_replace("text", r"\P{L}+", "")),
+        "upper": F.regexp_count("text", F.lit(r"\p{Lu}")),
+        "symbols": F.regexp_count("text", F.lit(r"[^\p{L}\p{N}\s.,]")),
+        "ends": F.regexp_count("text", F.lit(r"[.!?]+(\s|$)")),
+    }
+    return cut.select(*texts.columns, *[c.alias("m_" + k) for k, c in counts.items()])
+
+
+def votes() -> dict[str, Column]:
+    """Each labeller's vote on a row of :func:`measures`: 1 good, 0 bad, null for no opinion."""
+    n, distinct, function, lines, distinct_lines, chars, letters, upper, symbols, ends = (
+        F.col("m_" + k) for k in ("n", "distinct", "function", "lines", "distinct_lines", "chars", "letters", "upper", "symbols", "ends")
+    )
     good, bad = F.lit(1), F.lit(0)
     return {
         "capitals": F.when(letters < 10, None).when(upper > 0.3 * letters, bad).when(upper < 0.1 * letters, good),
@@ -57,10 +74,16 @@ def votes(text: Column) -> dict[str, Column]:
         "function_words": F.when(n < 20, None).when(function < 0.04 * n, bad).when(function > 0.1 * n, good),
         "sentences": F.when(n < 40, None).when((ends * 60 < n) | (ends * 4 > n), bad).when((ends * 30 > n) & (ends * 6 < n), good),
         "word_length": F.when(n < 10, None).when((chars > 8 * n) | (chars < 4 * n), bad).when((chars > 4.5 * n) & (chars < 7.5 * n), good),
-        "lines": F.when(F.size(lines) < 4, None).when(distinct_lines < 0.5 * F.size(lines), bad).when(distinct_lines > 0.8 * F.size(lines), good),
+        "lines": F.when(lines < 4, None).when(distinct_lines < 0.5 * lines, bad).when(distinct_lines > 0.8 * lines, good),
     }
 
 
+def patterns_of(texts: DataFrame) -> DataFrame:
+    """``texts`` plus p, the votes of all labellers in order, -1 for no opinion."""
+    of = votes()
+    return measures(texts).select(*texts.columns, F.array(*[F.coalesce(of[k], F.lit(-1)) for k in LABELLERS]).alias("p"))
+
+
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
     """EM for votes that are independent given the class: (posterior of each pattern, accuracy[class, labeller], prior).
 
@@ -90,19 +113,30 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", s)[:12]
 
 
-class Features(dict):
-    """word -> (feature of the word, feature of its shape)."""
+def features(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(features of the distinct words [word, shape], their index by token, tokens of each text, word and line repeats).
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        mask = (1 << BITS) - 1
-        self[word] = x = (zlib.crc32(b"w" + word.lower().encode()) & mask, zlib.crc32(b"s" + shape(word).encode()) & mask)
-        return x
-
-
-def repeats(text: str, words: list[str]) -> tuple[float, float]:
-    """Shares of words and of lines that occurred before in the same text."""
-    lines = [s for s in text.split("\n") if s.strip()]
-    return (1 - len(set(words)) / len(words) if words else 0.0), (1 - len(set(lines)) / len(lines) if lines else 0.0)
+    A text's words are cut at white space; repeats are the shares of its words and lines that occurred
+    before in it.  Every text is taken whole; words are hashed once per batch.
+    """
+    lists = pc.utf8_split_whitespace(texts)
+    flat, n = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(n)), n)
+    some = pc.not_equal(flat, "")
+    doc, coded = doc[some.to_numpy(zero_copy_only=False)], flat.filter(some).dictionary_encode()
+    at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    mask = (1 << BITS) - 1
+    hashed = np.array(
+        [(zlib.crc32(b"w" + w.lower().encode()) & mask, zlib.crc32(b"s" + shape(w).encode()) & mask) for w in words], np.int64
+    ).reshape(-1, 2)
+    n = np.bincount(doc, minlength=len(n))
+    seen = np.bincount(np.unique(doc * max(1, len(words)) + at) // max(1, len(words)), minlength=len(n))
+    line_repeats = np.zeros(len(n))
+    for i, text in enumerate(texts):
+        lines = [s for s in text.as_py().split("\n") if s.strip()]
+        if len(lines) > 1:
+            line_repeats[i] = 1 - len(set(lines)) / len(lines)
+    return hashed, at, n, np.where(n > 0, 1 - seen / np.maximum(1, n), 0.0), line_repeats
 
 
 def fit_scorer(rows: list[tuple[float, np.ndarray, float, float]]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,35 +165,30 @@ def fit_scorer(rows: list[tuple[float, np.ndarray, float, float]]) -> tuple[np.n
 
 def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
     """Scorer weights, and a table of the labellers' estimated accuracies."""
-    voted = docs.select("doc_id", text_of("text").alias("text")).where("text <> ''")
-    votes_of = votes(F.col("text"))
-    each = voted.select(F.array(*[F.coalesce(votes_of[k], F.lit(-1)) for k in LABELLERS]).alias("p"), "doc_id", "text")
-    table = each.groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
+    texts = docs.select("doc_id", text_of("text").alias("text")).where("text <> ''")
+    table = patterns_of(texts).groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("k")).orderBy("p").collect()
     if not table:
         return np.zeros(1 << BITS, np.float32), np.zeros(3), pd.DataFrame()
     patterns, counts = np.array([r.p for r in table]), np.array([r.n for r in table], float)
     post, acc, _ = fit_labellers(patterns, counts)
-    share = min(1.0, max_docs / counts.sum())
+    share = min(1.0, max_docs / counts.sum(), MAX_TRAIN_CHARS / sum(r.k for r in table))
     soft = {tuple(p): float(q) for p, q in zip(patterns.tolist(), post, strict=True)}
-    chosen = each.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
-
-    def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features()
-        for pdf in batches:
-            if len(features) > CACHE:
-                features.clear()
-            out = []
-            for p, text in zip(pdf["p"], pdf["text"], strict=True):
-                words = text.split()
-                out.append((soft[tuple(p)], np.array([features[w] for w in words], np.int32).ravel().tobytes(), *repeats(text, words)))
-            yield pd.DataFrame(out, columns=["y", "f", "rw", "rl"])
+    chosen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
+
+    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashed, at, n, rw, rl = features(batch["text"])
+            ends = np.cumsum(n)
+            bags = [hashed[at[e - k : e]].astype(np.int32).ravel().tobytes() for e, k in zip(ends, n, strict=True)]
+            y = [soft[tuple(p)] for p in batch["p"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"y": y, "f": pa.array(bags, pa.binary()), "rw": rw, "rl": rl, "g": pa.array([0] * len(y), pa.int32())})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "rw", "rl", "f"])
+        pdf = pdf.sort_values(["y", "rw", "rl", "f"])  # the result must not depend on the order of arrival
         w, v = fit_scorer([(r.y, np.frombuffer(r.f, np.int32), r.rw, r.rl) for r in pdf.itertuples()])
         return pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "v": [v.tolist()]})
 
-    bags = chosen.select("p", "text").mapInPandas(featurise, "y double, f binary, rw double, rl double").withColumn("g", F.lit(0))
+    bags = patterns_of(chosen).select("p", "text").mapInArrow(featurise, "y double, f binary, rw double, rl double, g int")
     model = bags.groupBy("g").applyInPandas(fit, "w binary, v array<double>").collect()
     report = pd.DataFrame({"labeller": LABELLERS, "accuracy_bad": acc[0], "accuracy_good": acc[1]})
     if not model:
@@ -167,50 +196,36 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> tuple[np.ndarray,
     return np.frombuffer(model[0].w, np.float32), np.array(model[0].v), report
 
 
-def score(docs: DataFrame, w: np.ndarray, v: np.ndarray) -> DataFrame:
-    """``docs`` plus quality_score (0 to 1, higher: better); texts without words, and null ones, score 0."""
+def scorer(docs: DataFrame, w: np.ndarray, v: np.ndarray) -> Column:
+    """The quality of ``docs.text`` (0 to 1, higher: better); texts without words, and null ones, score 0.
+
+    Only texts go to Python; all other columns stay where they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((w, v))
-    text_at = docs.columns.index("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, v = shared.value
-        weights, features = w.astype(np.float64).tolist(), Features()
-
-        class Weights(dict):
-            def __missing__(self, word: str) -> float:
-                a, b = features[word]
-                self[word] = x = weights[a] + weights[b]
-                return x
-
-        known = Weights()
-        for pdf in batches:
-            if len(known) > CACHE:
-                known.clear(), features.clear()
-            out = []
-            for text in pdf.iloc[:, text_at]:
-                words = text.split() if isinstance(text, str) else []
-                if not words:
-                    out.append(0.0)
-                    continue
-                rw, rl = repeats(text, words)
-                z = sum(map(known.__getitem__, words)) / len(words) + v[0] + v[1] * rw + v[2] * rl
-                out.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
-            yield pdf.assign(quality_score=out)
+        for batch in batches:
+            hashed, at, n, rw, rl = features(batch)
+            weights = w[hashed].astype(np.float64).sum(axis=1)
+            total = np.bincount(np.repeat(np.arange(len(n)), n), weights[at], minlength=len(n))
+            z = total / np.maximum(1, n) + v[0] + v[1] * rw + v[2] * rl
+            yield pa.array(np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0))
 
-    return docs.mapInPandas(run, _schema(docs) + ", quality_score double")
-
-
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return F.arrow_udf(run, "double")(text_of("text"))
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, quality_score, kept (score of at least 0.5) for every row; an empty table gives an empty result."""
+    """doc_id, quality_score, kept (score of at least 0.5) for every row, null and repeated ids included.
+
+    Extra columns are ignored; an empty table gives an empty result.
+    """
     w, v, _ = train(docs)
-    return score(docs.select("doc_id", "text"), w, v).select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
+    scored = docs.select("doc_id", scorer(docs, w, v).alias("quality_score"))
+    return scored.withColumn("kept", F.col("quality_score") >= 0.5)
 
 
 def reject_low_quality(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
+    """The rows of ``docs`` that score 0.5 or more, with all their columns, whatever their names."""
     w, v, _ = train(docs)
-    return score(docs, w, v).where("quality_score >= 0.5").select(*docs.columns)
+    return docs.where(scorer(docs, w, v) >= 0.5)

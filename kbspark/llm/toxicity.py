@@ -4,8 +4,9 @@ A document is a bag of sentences.  A sentence has the probability sigmoid(b + su
 its words); a document is toxic if any sentence is (noisy-or): P = 1 - prod(1 - p_i).  Weights are
 trained from document labels alone and afterwards point at the sentences to blame.
 
-Training uses at most about :data:`MAX_TRAIN_DOCS` labelled rows, chosen by a hash of the id, and runs
-in one task of bounded size; everything else is a narrow pass over whole texts.  Words are hashed to
+Training uses at most about :data:`MAX_TRAIN_DOCS` labelled rows of about :data:`MAX_TRAIN_CHARS` characters in
+all, chosen by a hash of the id, and runs in one task of bounded size; everything else is a narrow pass over
+whole texts, in which only the texts go to Python.  Words are hashed to
 2**BITS features; words that occur in fewer than :data:`MIN_DOCS` training documents, or in toxic ones
 no more often than chance allows, weigh nothing.
 """
@@ -19,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, text_of
+from .common import crc_mod, text_of
 
-MAX_TRAIN_DOCS = 20_000
+MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 20_000, 200_000_000
 BITS = 18
 MIN_DOCS = 3
 CHANCE = 1.0  # words expected to pass the screen by chance
@@ -105,9 +107,11 @@ def train(docs: DataFrame, labels: DataFrame, learn_from=None, max_docs: int = M
     if learn_from is not None:
         lab = lab.where(learn_from)
     lab = lab.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    share = min(1.0, max_docs / max(1, lab.count()))
-    lab = lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    chosen = docs.select("doc_id", text_of("text").alias("text")).join(lab, "doc_id").select("y", "text")
+    texts = docs.select("doc_id", text_of("text").alias("text"))
+    size = texts.select("doc_id", F.length("text").alias("k")).join(lab, "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")).first()
+    share = min(1.0, max_docs / max(1, size.n), MAX_TRAIN_CHARS / max(1, size.k or 0))
+    lab = lab.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+    chosen = texts.join(lab, "doc_id").select("y", "text")
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -136,16 +140,15 @@ def train(docs: DataFrame, labels: DataFrame, learn_from=None, max_docs: int = M
     return np.frombuffer(model[0].w, np.float32), float(model[0].b)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], n_worst: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score, sentence_scores of the ``n_worst`` sentences as array<struct<p, sentence>>, and the columns ``keep``.
+def scorer(docs: DataFrame, model: tuple[np.ndarray, float], n_worst: int = 0) -> Column:
+    """The score of ``docs.text`` or, with ``n_worst``, struct<score, worst array<struct<p, sentence>>>.
 
-    Every row of ``docs`` is scored over its whole text; a null or empty text has no sentence and
-    scores 0.  The model is at most 2**BITS floats.
+    Only texts go to Python; all other columns stay where they are.  The model is at most 2**BITS floats.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    full = pa.struct([("score", pa.float64()), ("worst", pa.list_(pa.struct([("p", pa.float64()), ("sentence", pa.string())])))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, b = shared.value
         weights = w.astype(np.float64).tolist()
         features = Words()
@@ -156,40 +159,46 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], n_worst: int = 3, ke
                 return x
 
         known = Weights()
-        for pdf in batches:
+        for batch in batches:
             if len(known) > CACHE:
                 known.clear()
                 features.clear()
-            scores, worst = [], []
-            for text in pdf["text_"]:
-                parts = sentences(text)
+            out = []
+            for text in batch:
+                parts = sentences(text.as_py())
                 z = np.array([sum(map(known.__getitem__, set(s.split()))) for s in parts]) + b
-                scores.append(float(-np.expm1(-np.logaddexp(0, z).sum())) if parts else 0.0)
-                top = np.argsort(-z, kind="stable")[:n_worst]
-                worst.append([(float(1 / (1 + np.exp(-z[i]))), parts[i]) for i in top])
-            yield pdf.drop(columns="text_").assign(score=scores, worst=worst)
-
-    kept = ["doc_id", *keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, text_of("text").alias("text_")).mapInPandas(
-        run, f"{schema}, score double, worst array<struct<p:double,sentence:string>>"
-    )
+                p = float(-np.expm1(-np.logaddexp(0, z).sum())) if parts else 0.0
+                if n_worst:
+                    top = np.argsort(-z, kind="stable")[:n_worst]
+                    out.append({"score": p, "worst": [{"p": float(1 / (1 + np.exp(-z[i]))), "sentence": parts[i]} for i in top]})
+                else:
+                    out.append(p)
+            yield pa.array(out, full if n_worst else pa.float64())
+
+    kind = "struct<score:double,worst:array<struct<p:double,sentence:string>>>" if n_worst else "double"
+    return F.arrow_udf(run, kind)(text_of("text"))
+
 
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, n_worst: int = 3) -> DataFrame:
+    """doc_id, held_out, score, predicted and the ``n_worst`` worst sentences, one row per row of ``docs``.
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted and the worst sentences; learns from rows that are not held out."""
+    Learns from rows that are not held out.  A null or empty text has no sentence and scores 0; null
+    and repeated ids pass through; extra columns are ignored; an empty table gives an empty result.
+    """
     model = train(docs, labels, crc_mod("doc_id", folds) != 0)
-    return score(docs, model).select(
+    return docs.select("doc_id", scorer(docs, model, n_worst).alias("r")).select(
         "doc_id",
         (crc_mod("doc_id", folds) == 0).alias("held_out"),
-        "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
-        "worst",
+        "r.score",
+        (F.col("r.score") >= 0.5).cast("int").alias("predicted"),
+        "r.worst",
     )
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score is under 0.5, with their columns."""
+    """The rows of ``docs`` whose score is under 0.5, with all their columns, whatever their names.
+
+    Null and empty texts stay (they score 0); an empty table gives an empty result.
+    """
     model = train(docs, labels, crc_mod("doc_id", 5) != 0)
-    columns = docs.columns
-    return score(docs, model, keep=tuple(c for c in columns if c != "doc_id")).where("score < 0.5").select(*columns)
+    return docs.where(scorer(docs, model) < 0.5)
