@@ -13,7 +13,6 @@ hand-made label is used.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -107,10 +106,18 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -
     return post, acc, prior
 
 
-def shape(word: str) -> str:
-    s = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", word)
-    s = re.sub(r"\d", "9", s)
-    return re.sub(r"(.)\1+", r"\1+", s)[:12]
+def shapes(words: pa.Array) -> pa.Array:
+    """Capitals as X, other letters as x, digits as 9, runs of one of them shortened; at most 12 characters."""
+    for pattern, to in ((r"\p{Lu}", "X"), (r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]", "x"), (r"\p{Nd}", "9"), ("XX+", "X+"), ("xx+", "x+"), ("99+", "9+")):
+        words = pc.replace_substring_regex(words, pattern, to)
+    return pc.utf8_slice_codeunits(words, 0, 12)
+
+
+def hashes(words: pa.Array, kind: bytes) -> np.ndarray:
+    """Feature of each word, hashed once per distinct one."""
+    coded = words.dictionary_encode()
+    own = np.array([zlib.crc32(kind + w.encode()) & ((1 << BITS) - 1) for w in coded.dictionary.to_pylist()], np.int64)
+    return own[coded.indices.to_numpy()] if len(own) else own
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, ...]:
@@ -124,13 +131,12 @@ def features(texts: pa.Array) -> tuple[np.ndarray, ...]:
     doc = np.repeat(np.arange(len(n)), n)
     some = pc.not_equal(flat, "")
     doc, coded = doc[some.to_numpy(zero_copy_only=False)], flat.filter(some).dictionary_encode()
-    at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    mask = (1 << BITS) - 1
-    hashed = np.array(
-        [(zlib.crc32(b"w" + w.lower().encode()) & mask, zlib.crc32(b"s" + shape(w).encode()) & mask) for w in words], np.int64
-    ).reshape(-1, 2)
+    at, words = coded.indices.to_numpy(), coded.dictionary
+    hashed = np.column_stack([hashes(pc.utf8_lower(words), b"w"), hashes(shapes(words), b"s")])
     n = np.bincount(doc, minlength=len(n))
-    seen = np.bincount(np.unique(doc * max(1, len(words)) + at) // max(1, len(words)), minlength=len(n))
+    pairs = np.sort(doc * max(1, len(words)) + at)
+    first = np.concatenate([[True], pairs[1:] != pairs[:-1]])[: len(pairs)]
+    seen = np.bincount(pairs[first] // max(1, len(words)), minlength=len(n))
     line_repeats = np.zeros(len(n))
     for i, text in enumerate(texts):
         lines = [s for s in text.as_py().split("\n") if s.strip()]
