@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Spark's setting that removes the shuffle files of a query as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Scratch:
@@ -30,16 +31,22 @@ class Scratch:
             base = tempfile.mkdtemp(prefix="kbspark-")
         self.spark, self.root, self.n = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
-    def write(self, df: DataFrame, *drop: DataFrame | None) -> DataFrame:
-        """Write ``df`` and return it as read back; ``drop``: tables that nothing else reads after this."""
+    def write(self, df: DataFrame, *drop: DataFrame | None, batch: int | None = None) -> DataFrame:
+        """Write ``df`` and return it as read back.
+
+        ``drop``: tables that nothing else reads after this; ``batch``: rows sent to Python at once, for large rows.
+        """
         path = f"{self.root}/{self.n}"
         self.n += 1
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        wanted = {CLEANUP: "true"} | ({BATCH_ROWS: str(batch)} if batch else {})
+        before = {k: self.spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
+            for k, v in before.items():
+                self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         for table in drop:

@@ -10,62 +10,180 @@ The start of a text is a history of its own, its end a token.
              = alpha(h) p(w)              else; alpha(h) = 1 for a history never seen
     alpha(h) = (1 - sum of the seen p(w | h)) / (1 - sum of p(w) over the words seen after h)
 
-Words stand as 64-bit hashes.  The tables are partitioned by a hash of the history into slices of about
-SLICE_TOKENS tokens; a slice holds whole histories, is counted, normalised, evaluated on every
-token with such a history, and then freed, so disk holds one slice at a time and its size does
-not grow with the corpus.  Discounts are those of the slice's own counts of counts.  All joins are
-shuffle joins on keys (adaptive execution splits hot ones); nothing that grows is broadcast.
+Tables, each written once in the shared folder:
+
+1. Texts are cut into words once.  A row of the token table holds a block of documents of about BLOCK_BYTES:
+   the 64-bit hashes of its distinct words and the texts as indices into them.
+2. Words by block are summed to unigram counts.
+3. Bigrams are summed within a block before anything is shuffled; the counts go to BUCKET_TOKENS-sized
+   buckets by a hash of the whole bigram, and each block gets back the corpus counts of its own
+   bigrams.  A bigram or history that makes up a third of all tokens is one entry per block.
+   One block with a bigram in its training part owns it for the sums over a history.
+4. Counts of counts of all buckets give one set of discounts for the corpus; the sums of each history
+   are added up over the blocks (one row per block and history).
+5. Each block scores its documents from its own bigram counts and the figures of its own words.
+
+So the work is the same at every size: discounts do not depend on blocks or buckets, every join is a
+shuffle join with at most one row per key and block, nothing that grows is broadcast or collected.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, crc_mod, text_of
 
 MAX_R = 5
-SLICE_TOKENS = 8_000_000
-CACHE = 1 << 20
+BLOCK_BYTES = 8 << 20
+BUCKET_TOKENS = 2_000_000
+#: Rows of blocks are megabytes each; so many go to Python at once.
+BATCH = 4
 START, END = 1, 2
-WORD = r"[^\x20\x09-\x0D]+"
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = x = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return x
+def hash_words(words: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], np.uint64)
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """One row per block of rows of ``docs`` (doc_id, train, text_).
+
+    block: its number; ids, train, n: by document (n: its words); words: hashes of the block's words, then
+    START and END; stream: for each document START, its words and END as indices into words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.binary_length(batch["text_"]).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.diff(size // BLOCK_BYTES)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                if hi > lo:
+                    yield one(batch.slice(lo, hi - lo))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(batch["text_"]))
+        flat = lists.flatten()
+        doc = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        some = pc.not_equal(flat, "")
+        doc, coded = doc[some.to_numpy(zero_copy_only=False)], flat.filter(some).dictionary_encode()
+        n, v = np.bincount(doc, minlength=len(batch)), len(coded.dictionary)
+        first = np.cumsum(n + 2) - (n + 2)
+        stream = np.full(int(n.sum()) + 2 * len(batch), v + 1, np.int32)
+        stream[first] = v
+        stream[np.arange(len(doc)) + 2 * doc + 1] = coded.indices.to_numpy()
+        words = np.concatenate([hash_words(coded.dictionary.to_pylist()), np.array([START, END], np.uint64)])
+        row = {"ids": batch["doc_id"], "train": batch["train"], "n": pa.array(n, pa.int32())}
+        return pa.RecordBatch.from_pydict(
+            {"block": pa.array([uuid.uuid4().int >> 65], pa.int64())}
+            | {k: pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), x) for k, x in row.items()}
+            | {"words": pa.array([words.tobytes()], pa.binary()), "stream": pa.array([stream.tobytes()], pa.binary())}
+        )
+
+    schema = "block long, ids array<long>, train array<boolean>, n array<int>, words binary, stream binary"
+    return docs.mapInArrow(run, schema)
+
+
+class Block:
+    """A row of :func:`blocks`: its tokens in order, each with history h, word w and document doc."""
+
+    def __init__(self, row: dict):
+        self.block, self.n = row["block"], np.array(row["n"], np.int64)
+        self.train = np.array(row["train"], bool)
+        self.words = np.frombuffer(row["words"], np.uint64)
+        stream = np.frombuffer(row["stream"], np.int32)
+        inside = stream[1:] != len(self.words) - 2
+        self.h, self.w = stream[:-1][inside], stream[1:][inside]
+        self.doc = np.repeat(np.arange(len(self.n)), self.n + 1)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct bigrams as sorted 64-bit hashes, an occurrence of each, the bigram of each token)."""
+        with np.errstate(over="ignore"):
+            g = (self.words[self.h] * np.uint64(0x9E3779B97F4A7C15)) ^ self.words[self.w]
+            g = (g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            g ^= g >> np.uint64(29)
+        return np.unique(g, return_index=True, return_inverse=True)
+
+    def by_word(self, info: pa.StructArray, names: list[str]) -> list[np.ndarray]:
+        """Columns of the rows (word, ...) in ``info``, in the order of the block's words; null counts as nan."""
+        keys = info.field("word").to_numpy(zero_copy_only=False).view(np.uint64)
+        order = np.argsort(keys)
+        at = order[np.searchsorted(keys[order], self.words)]
+        return [pc.cast(info.field(k), pa.float64()).to_numpy(zero_copy_only=False)[at] for k in names]
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows with plain values, but the list ``info`` (if there is one) as an Arrow array."""
+    for batch in batches:
+        plain = batch.drop_columns(["info"]) if "info" in batch.schema.names else batch
+        for i in range(len(batch)):
+            row = plain.slice(i, 1).to_pylist()[0]
+            if plain is not batch:
+                row["info"] = batch["info"].slice(i, 1).flatten()
+            yield row
+
+
+def words_by_block(table: DataFrame) -> DataFrame:
+    """(block, word, c): occurrences in training documents of every word of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            b = Block(row)
+            c = np.bincount(b.w, b.train[b.doc], minlength=len(b.words)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"block": np.full(len(c), b.block), "word": b.words.view(np.int64), "c": c})
 
+    return table.select("block", "train", "n", "words", "stream").mapInArrow(run, "block long, word long, c long")
 
-def tokens(docs: DataFrame, slices: int, part: int) -> DataFrame:
-    """(key, train, h, w) of every token of ``docs`` (key, train, text_) whose history falls into slice ``part``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHashes()
-        for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                some = pdf.iloc[lo : lo + 500]
-                if len(words) > CACHE:
-                    words.clear()
-                seqs = [[START, *map(words.__getitem__, t.encode().lower().split()), END] for t in some["text_"]]
-                n = np.array([len(s) - 1 for s in seqs])
-                flat = np.fromiter((x for s in seqs for x in s), np.int64, int(n.sum()) + len(seqs))
-                last = np.cumsum(n + 1) - 1
-                h, w = np.delete(flat, last), np.delete(flat, last - n)
-                own = np.flatnonzero(h.astype(np.uint64) % np.uint64(slices) == part) if slices > 1 else slice(None)
-                yield pd.DataFrame({
-                    "key": np.repeat(some["key"].to_numpy(), n)[own], "train": np.repeat(some["train"].to_numpy(), n)[own],
-                    "h": h[own], "w": w[own],
-                })
+def asked(table: DataFrame, bits: int) -> DataFrame:
+    """(bucket, block, grams, counts): the distinct bigrams of a block with their training counts, by bucket."""
 
-    return docs.mapInPandas(run, "key long, train boolean, h long, w long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            b = Block(row)
+            g, _, of = b.grams()
+            c = np.bincount(of, b.train[b.doc], minlength=len(g)).astype(np.uint32)
+            bucket = (g >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(g), np.int32)
+            at = np.flatnonzero(np.diff(bucket, prepend=-1))
+            ends = [*at[1:], len(g)]
+            yield pa.RecordBatch.from_pydict({
+                "bucket": bucket[at], "block": np.full(len(at), b.block),
+                "grams": pa.array([g[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()),
+                "counts": pa.array([c[x:y].tobytes() for x, y in zip(at, ends, strict=True)], pa.binary()),
+            })
+
+    return table.select("block", "train", "n", "words", "stream").mapInArrow(run, "bucket int, block long, grams binary, counts binary")
+
+
+def answered(requests: DataFrame) -> DataFrame:
+    """(block, bucket, answer, r): twice the corpus count of each bigram asked for, plus 1 for the block that owns it; r[i]: owned ones with count i + 1."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_py(), np.uint64) for x in t["grams"]]
+        g = np.concatenate(parts)
+        c = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t["counts"]]).astype(np.float64)
+        of = np.unique(g, return_inverse=True)[1]
+        total = np.bincount(of, c).astype(np.int64)
+        has = np.flatnonzero(c)
+        own = np.zeros(len(g), np.int64)
+        own[has[np.unique(of[has], return_index=True)[1]]] = 1
+        answer, ends = 2 * total[of] + own, np.cumsum([len(p) for p in parts])
+        cut = [answer[e - len(p) : e] for e, p in zip(ends, parts, strict=True)]
+        r = [np.bincount(np.minimum(a[a % 2 == 1] // 2, MAX_R + 2), minlength=MAX_R + 3)[1 : MAX_R + 2].tolist() for a in cut]
+        return pa.table({
+            "block": t["block"], "bucket": t["bucket"],
+            "answer": pa.array([a.tobytes() for a in cut], pa.binary()), "r": pa.array(r, pa.list_(pa.int64())),
+        })
+
+    return requests.groupBy("bucket").applyInArrow(run, "block long, bucket int, answer binary, r array<long>")
 
 
 def discounts(count_of_counts: dict[int, int]) -> list[float]:
@@ -79,12 +197,10 @@ def discounts(count_of_counts: dict[int, int]) -> list[float]:
     return out
 
 
-def discounted(c: Column, d: list[float]) -> Column:
+def discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
     """d(c) * c"""
-    x = c.cast("double")
-    for r, f in enumerate(d, 1):
-        x = F.when(c == r, F.lit(r * f)).otherwise(x)
-    return x
+    low = np.array([0.0, *[r * f for r, f in enumerate(d, 1)]])
+    return np.where(c <= MAX_R, low[np.minimum(c, MAX_R).astype(np.int64)], c)
 
 
 def counts_of_counts(table: DataFrame, c: str) -> dict[int, int]:
@@ -92,97 +208,111 @@ def counts_of_counts(table: DataFrame, c: str) -> dict[int, int]:
     return {r[c]: r.k for r in rows}
 
 
-def unigrams(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
-    """Table (w, c1) of the training tokens, N and V."""
+def with_answers(table: DataFrame, answers: DataFrame, info: DataFrame) -> DataFrame:
+    """``table`` plus answers (by bucket) and info (rows of the block's words)."""
+    got = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("a"))
+    got = got.select("block", F.transform("a", lambda x: x.answer).alias("answers"))
+    known = info.groupBy("block").agg(F.collect_list(F.struct(*[c for c in info.columns if c != "block"])).alias("info"))
+    return table.join(got, "block").join(known, "block")
+
+
+def counts_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(count, owned) of a block's distinct bigrams in the order of :meth:`Block.grams`."""
+    a = np.concatenate([np.frombuffer(x, np.int64) for x in row["answers"]])
+    return a >> 1, (a & 1).astype(bool)
+
+
+def history_sums(joined: DataFrame, d1: list[float], d2: list[float], total: float) -> DataFrame:
+    """(h, ch, s, u) by block: sums of counts, discounted counts and unigram probabilities over the owned bigrams of a history."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            b = Block(row)
+            at = b.grams()[1]
+            c, owned = counts_of(row)
+            (c1,) = b.by_word(row["info"], ["c1"])
+            at, c = at[owned], c[owned]
+            h, p1 = b.h[at], discounted(c1[b.w[at]], d1) / total
+            ch, s, u = (np.bincount(h, x, minlength=len(b.words)).astype(np.float64) for x in (c, discounted(c, d2), p1))
+            has = np.flatnonzero(ch)
+            yield pa.RecordBatch.from_pydict({"h": b.words[has].view(np.int64), "ch": ch[has], "s": s[has], "u": u[has]})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHashes()
-        for pdf in batches:
-            if len(words) > CACHE:
-                words.clear()
-            w = np.array([words[x] for t in pdf["text_"] for x in t.encode().lower().split()] + [END] * len(pdf), np.int64)
-            w, c = np.unique(w, return_counts=True)
-            yield pd.DataFrame({"w": w, "c": c})
+    return joined.mapInArrow(run, "h long, ch double, s double, u double")
 
-    table = docs.where("train").select("text_").mapInPandas(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c1"))
-    table = scratch.write(table)
-    n, v = table.agg(F.coalesce(F.sum("c1"), F.lit(0)), F.count(F.lit(1))).first()
-    return table, n, v
+
+def document_sums(joined: DataFrame, d1: list[float], d2: list[float], total: float, free: float, base: float) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, base_score, score of every document of every block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, row in enumerate(rows_of([batch])):
+                yield one(row, batch["ids"].slice(i, 1).flatten())
+
+    def one(row: dict, ids: pa.Array) -> pa.RecordBatch:
+        b = Block(row)
+        of = b.grams()[2]
+        c = counts_of(row)[0][of]
+        c1, den, alpha = b.by_word(row["info"], ["c1", "den", "alpha"])
+        known = c1[b.w] > 0
+        p1 = np.where(known, discounted(c1, d1)[b.w] / total, free)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = np.where(c > 0, discounted(c, d2) / den[b.h], np.where(np.isnan(alpha[b.h]), 1.0, alpha[b.h]) * p1)
+        by_doc = lambda x: np.bincount(b.doc, x, minlength=len(b.n))
+        return pa.RecordBatch.from_pydict({
+            "doc_id": ids, "train": b.train, "n_tokens": b.n + 1, "n_known": by_doc(known).astype(np.int64),
+            "base_score": by_doc(np.log10((c1[b.w] + 0.5) / base)), "score": by_doc(np.log10(p)),
+        })
+
+    return joined.mapInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def katz_scores(docs: DataFrame, train: Column, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out (not ``train``), n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
-    A null or empty text is one end token.  Rows that repeat id and text get the same scores and
-    count as often as they occur.  Without training tokens every word is unknown: base and score
-    are those of one type.  Other columns are ignored; an empty table gives an empty result.
+    A null or empty text is one end token.  Null ids pass through; rows that repeat id or text are
+    scored each and count as often as they occur.  Without training tokens every word is unknown:
+    base and score are those of one type.  Extra columns are ignored; an empty table gives an
+    empty result.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "katz")
-    text = text_of("text")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), text.alias("text_"))
-    docs = docs.withColumn("key", F.xxhash64("doc_id", "text_"))
-    uni, total, types = unigrams(docs, scratch)
-    rows = scratch.write(docs.select("doc_id", "key", "train", (F.regexp_count("text_", F.lit(WORD)) + 1).cast("long").alias("n_tokens")))
-    d1 = discounts(counts_of_counts(uni, "c1"))
-    seen = uni.agg(F.sum(discounted(F.col("c1"), d1))).first()[0] or 0.0
+    scratch = scratch or Scratch(docs.sparkSession, "katz")
+    train = F.coalesce(train, F.lit(False)).alias("train")
+    table = scratch.write(blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), train, text_of("text").alias("text_"))))
+    words = scratch.write(words_by_block(table), batch=BATCH)
+    uni = scratch.write(words.where("c > 0").groupBy("word").agg(F.sum("c").alias("c1")))
+    total, types = uni.agg(F.coalesce(F.sum("c1"), F.lit(0)), F.count(F.lit(1))).first()
+    ones = counts_of_counts(uni, "c1")
+    d1 = discounts(ones)
+    seen = total - sum((1 - d1[r - 1]) * r * k for r, k in ones.items() if r <= MAX_R)
     free = 1 - seen / total if total else 1.0
-    if total and free < 1e-12:  # no count is small enough to be discounted
-        d1, free = d1, 1 / (total + 1)
-        p1 = discounted(F.col("c1"), d1) / F.lit(float(total + 1))
+    if free < 1e-12:  # no count is small enough to be discounted
+        free, mass = 1 / (total + 1), total + 1
     else:
-        p1 = discounted(F.col("c1"), d1) / F.lit(float(max(1, total)))
-    uni = uni.withColumn("p1", p1)
-    n_all = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    slices = max(1, math.ceil(n_all / SLICE_TOKENS))
-    base = lambda c: F.log10((c + F.lit(0.5)) / F.lit(total + 0.5 * (types + 1)))
-
-    sums = None
-    for part in range(slices):
-        own = scratch.write(tokens(docs.select("key", "train", "text_"), slices, part))
-        grams = scratch.write(own.where("train").groupBy("h", "w").agg(F.count(F.lit(1)).alias("c2")))
-        d2 = discounts(counts_of_counts(grams, "c2"))
-        grams_p = grams.join(uni, "w").withColumn("dc", discounted(F.col("c2"), d2))
-        history = grams_p.groupBy("h").agg(F.sum("c2").alias("ch"), F.sum("dc").alias("s"), F.sum("p1").alias("u"))
-        # where nothing is discounted, one count in ch + 1 is set aside
-        whole = F.col("s") > F.col("ch") - 1e-9
-        history = history.select(
-            "h",
-            F.when(whole, F.col("ch") + 1).otherwise(F.col("ch")).cast("double").alias("den"),
-            (F.when(whole, 1 / (F.col("ch") + 1)).otherwise(1 - F.col("s") / F.col("ch")) / (1 - F.col("u"))).alias("alpha"),
-        )
-        history = scratch.write(history)
-        model = grams_p.select("h", "w", "c1", "dc").join(history, "h").select("h", "w", "c1", F.log10(F.col("dc") / F.col("den")).alias("lp"))
-        met = own.select("key", "h", "w").join(model, ["h", "w"], "left")
-        known = met.where("lp IS NOT NULL").select("key", "c1", "lp")
-        # training tokens always have their bigram, so only held-out ones back off
-        backed = own.where("NOT train").select("key", "h", "w").join(grams.select("h", "w"), ["h", "w"], "left_anti")
-        backed = backed.join(history.select("h", "alpha"), "h", "left").join(uni, "w", "left")
-        backed = backed.select(
-            "key", F.coalesce("c1", F.lit(0)).alias("c1"),
-            (F.log10(F.coalesce("alpha", F.lit(1.0))) + F.log10(F.coalesce("p1", F.lit(free)))).alias("lp"),
-        )
-        both = known.unionByName(backed).groupBy("key").agg(
-            F.sum("lp").alias("lp"), F.sum(base(F.col("c1"))).alias("lb"), F.sum(F.when(F.col("c1") > 0, 1).otherwise(0)).alias("known")
-        )
-        done = scratch.write(both)
-        for table in (own, grams, history):
-            scratch.drop(table)
-        del grams, grams_p, history, model, met, known, backed, both, own
-        gc.collect()
-        spark._jvm.System.gc()  # lets Spark delete the slice's shuffle files
-        sums = done if sums is None else sums.unionByName(done)
-    sums = sums.groupBy("key").agg(F.sum("lp").alias("lp"), F.sum("lb").alias("lb"), F.sum("known").alias("known"))
-    times = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
-    return rows.join(times, "key").join(sums, "key").select(
-        "doc_id",
-        (~F.col("train")).alias("held_out"),
-        "n_tokens",
-        (F.col("known") / F.col("times")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("lb") / F.col("times")).alias("base_score"),
-        (F.col("lp") / F.col("times")).alias("score"),
-    )
+        mass = max(1, total)
+
+    n_all = table.agg(F.sum(F.expr("aggregate(n, 0L, (s, x) -> s + x + 1)"))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, n_all / BUCKET_TOKENS))))
+    answers = scratch.write(answered(asked(table, bits)), batch=BATCH)
+    sums = answers.agg(*[F.sum(F.col("r")[i]).alias(f"r{i + 1}") for i in range(MAX_R + 1)]).first()
+    d2 = discounts({r: x for r, x in enumerate(sums, 1) if x})
+
+    answers = answers.drop("r")
+    known = words.select("block", "word").join(uni, "word", "left").withColumn("c1", F.coalesce("c1", F.lit(0)))
+    parts = scratch.write(history_sums(with_answers(table, answers, known), d1, d2, mass), batch=BATCH)
+    history = parts.groupBy("h").agg(F.sum("ch").alias("ch"), F.sum("s").alias("s"), F.sum("u").alias("u"))
+    # where nothing is discounted, one count in ch + 1 is set aside
+    whole = F.col("s") > F.col("ch") - 1e-9
+    history = scratch.write(history.select(
+        F.col("h").alias("word"),
+        F.when(whole, F.col("ch") + 1).otherwise(F.col("ch")).alias("den"),
+        (F.when(whole, 1 / (F.col("ch") + 1)).otherwise(1 - F.col("s") / F.col("ch")) / (1 - F.col("u"))).alias("alpha"),
+    ), parts)
+    info = known.join(history, "word", "left")
+    scores = document_sums(with_answers(table, answers, info), d1, d2, mass, free, total + 0.5 * (types + 1))
+    scores = scratch.write(scores, table, words, uni, answers, history, batch=BATCH)
+    return scores.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+    )
 
 
 def lm_scores(docs: DataFrame, folds: int = 5) -> DataFrame:

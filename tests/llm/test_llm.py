@@ -370,18 +370,17 @@ def test_toxicity_without_labels(spark):
 
 # --- 10 language model
 
-def test_katz_is_normalised_and_equals_brute_force(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_katz_is_normalised_and_equals_brute_force(spark, monkeypatch, small):
+    """The same scores whether the corpus is one block and bucket or many."""
     rng = random.Random(10)
-    texts = [" ".join(words(rng, rng.randrange(0, 40), 30) + (["Rare%d" % i] if i % 3 == 0 else [])) for i in range(120)] + [None, ""]
-    old, katz.SLICE_TOKENS = katz.SLICE_TOKENS, 1000
-    try:
-        out = {r.doc_id: r for r in katz.lm_scores(docs(spark, texts)).collect()}
-    finally:
-        katz.SLICE_TOKENS = old
-    n = sum(len((t or "").split()) + 1 for t in texts)
-    slices = max(1, -(-n // 1000))
-    seq = lambda t: [katz.START, *[katz.WordHashes()[w] for w in (t or "").encode().lower().split()], katz.END]
-    part = lambda h: int(np.int64(h).astype(np.uint64) % np.uint64(slices))
+    texts = [" ".join(words(rng, rng.randrange(0, 40), 30) + (["Rare%d" % i] if i % 3 == 0 else [])) for i in range(120)]
+    texts += [None, "", "Long " * 3000, " \n\x0b a\u2003b \x1c "]
+    if small:
+        monkeypatch.setattr(katz, "BLOCK_BYTES", 300)
+        monkeypatch.setattr(katz, "BUCKET_TOKENS", 200)
+    out = {r.doc_id: r for r in katz.lm_scores(docs(spark, texts)).collect()}
+    seq = lambda t: [b"<start>", *(t or "").encode().lower().split(), b"<end>"]
     uni, bi = Counter(), Counter()
     for i, t in enumerate(texts):
         if zlib.crc32(str(i).encode()) % 5 != 1:
@@ -391,7 +390,7 @@ def test_katz_is_normalised_and_equals_brute_force(spark):
     total = sum(uni.values())
     cut = lambda c, d: d[c - 1] * c if c <= katz.MAX_R else c
     d1 = katz.discounts(Counter(uni.values()))
-    d2 = [katz.discounts(Counter(c for (h, _), c in bi.items() if part(h) == p)) for p in range(slices)]
+    d2 = katz.discounts(Counter(bi.values()))
     p1 = {w: cut(c, d1) / total for w, c in uni.items()}
     free = 1 - sum(p1.values())
 
@@ -399,14 +398,14 @@ def test_katz_is_normalised_and_equals_brute_force(spark):
         followers = {v: c for (g, v), c in bi.items() if g == h}
         if not followers:
             return p1.get(w, free)
-        ch, s = sum(followers.values()), sum(cut(c, d2[part(h)]) for c in followers.values())
+        ch, s = sum(followers.values()), sum(cut(c, d2) for c in followers.values())
         whole = s > ch - 1e-9
         if w in followers:
-            return cut(followers[w], d2[part(h)]) / (ch + whole)
+            return cut(followers[w], d2) / (ch + whole)
         return (1 / (ch + 1) if whole else 1 - s / ch) / (1 - sum(p1[v] for v in followers)) * p1.get(w, free)
 
     for h in list(dict.fromkeys(g for g, _ in bi))[:10]:
-        assert abs(sum(p(h, w) for w in uni) + p(h, -5) - 1) < 1e-9
+        assert abs(sum(p(h, w) for w in uni) + p(h, b"never seen") - 1) < 1e-9
     for i, t in enumerate(texts):
         s = seq(t)
         r = out[i]
@@ -416,5 +415,8 @@ def test_katz_is_normalised_and_equals_brute_force(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(s) - 1, sum(uni[w] > 0 for w in s[1:]), total)
 
 
-def test_katz_of_nothing(spark):
+def test_katz_of_nothing_and_of_untrained_rows(spark):
     assert katz.lm_scores(docs(spark, [])).count() == 0
+    some = spark.createDataFrame([(None, "a b"), (2**53 + 1, None), (None, "a b")], "doc_id long, text string").withColumn("score", F.lit(1))
+    out = katz.katz_scores(some, F.lit(False)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, r.score) for r in out) == [(0, 3, 0, 0, 0.0)] * 2 + [(2**53 + 1, 1, 0, 0, 0.0)]
