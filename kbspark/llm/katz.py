@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, crc_mod, text_of
 
 MAX_R = 5
-BLOCK_BYTES = 16 << 20
-BUCKET_TOKENS = 2_000_000
+BLOCK_BYTES = 8 << 20
+BUCKET_TOKENS = 1_500_000
 #: Rows of blocks are megabytes each; so many go to Python at once.
 BATCH = 2
 START, END = 1, 2
@@ -124,7 +124,7 @@ class Block:
         stream = unpack(row["stream"], np.int32)
         inside = stream[1:] != len(self.words) - 2
         self.h, self.w = stream[:-1][inside], stream[1:][inside]
-        self.doc = np.repeat(np.arange(len(self.n)), self.n + 1)
+        self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n + 1)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct bigrams as sorted 64-bit hashes, an occurrence of each, the bigram of each token)."""
