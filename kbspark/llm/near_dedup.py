@@ -6,11 +6,12 @@
    label; classes that share a prefix are neighbours there.  Regions start at the prefix length
    FIRST; a region with more than REGION classes is split by one more value, up to DEPTH.
    A region that is dense even then is cut into bands of set sizes; similar sets share a band.
-3. Classes of a small region are compared pair by pair.  A region that stays dense is compared with
-   a pivot, the member closest to the consensus of the region's signatures; as long as members lie
-   outside the region's largest component, a new pivot is taken from them, and in the end each of
-   those that are left is compared with every member of another component.  A pair may only be left
-   out where both sides are already known to be connected, so no link between components is lost.
+3. The classes of a small region are compared with its first; then those of different components with
+   each other.  A region that stays dense is compared with a pivot, the member closest to the
+   consensus of the region's signatures; as long as members lie outside the region's largest
+   component, a new pivot is taken from them, and in the end each of those that are left is
+   compared with every member of another component.  A pair may only be left out where both
+   sides are already known to be connected, so no link between components is lost.
 4. Links (100 * |A & B| >= threshold * |A | B|) become connected components by alternating large and
    small stars, written to shared storage in each round.
 
@@ -19,7 +20,8 @@ its MinHash values disagree in no more places than six standard deviations above
 pair at the threshold (a chance under 1e-7 to lose such a pair).
 
 Chance of missing a pair at the threshold in all trees: (1 - 0.85**3)**20 = 5e-9, and at the full depth
-of a dense region (1 - 0.85**5)**20 = 8e-6.  Work and shuffled rows grow with the number of classes times TREES.
+of a dense region (1 - 0.85**5)**20 = 8e-6; at a threshold of 0.8
+(1 - 0.8**3)**20 = 6e-7 and (1 - 0.8**5)**20 = 4e-4.  Work and shuffled rows grow with the number of classes times TREES.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,22 +94,22 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         bits[: len(sig)] = sig & 1
         return np.packbits(bits).view(np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, odd = WordHashes(), _constants()
-        for pdf in batches:
-            sets = [shingle_set(t, size, words) for t in pdf["text_"]]
-            sigs = [signature(s, odd) if len(s) else None for s in sets]
-            bits = [(0, 0) if g is None else lowest(g) for g in sigs]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"),
-                "n": [len(s) for s in sets],
-                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "signature": [None if g is None else g.tobytes() for g in sigs],
-                "s1": [b[0] for b in bits],
-                "s2": [b[1] for b in bits],
-            })
-
-    return docs.mapInPandas(run, "doc_id long, n long, digest binary, signature binary, s1 long, s2 long")
+        for batch in batches:
+            rows = []
+            for text in batch:
+                s = shingle_set(text.as_py(), size, words)
+                g = signature(s, odd) if len(s) else None
+                s1, s2 = (0, 0) if g is None else lowest(g)
+                digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                rows.append((len(s), digest, None if g is None else g.tobytes(), s1, s2))
+            kinds = {"n": pa.int64(), "digest": pa.binary(), "signature": pa.binary(), "s1": pa.int64(), "s2": pa.int64()}
+            columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    signed = F.arrow_udf(run, "struct<n:long,digest:binary,signature:binary,s1:long,s2:long>")
+    return docs.select("doc_id", signed("text_").alias("r")).select("doc_id", "r.*")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -149,31 +152,34 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
         size = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         return scratch.write(keyed.join(size, "cell").select("cell", *member, *more, "m"))
 
-    cells, live = [], entries
+    cells, kept_regions, live = [], [], entries
     for depth in range(FIRST, DEPTH + 1):
         prefix = F.concat(F.chr(F.col("tree") + 65).cast("binary"), F.substring("label", 1, 4 * depth))
         held = regions(live.withColumn("cell", prefix), "tree", "label")
+        kept_regions.append(held)
         cells.append(held.where(F.col("m") <= REGION).select("cell", *member))
         live = held.where(F.col("m") > REGION).drop("m", "cell")
         if live.isEmpty():
             break
-    dense = held.where(F.col("m") > REGION).select("cell", *member)
+    dense = scratch.write(held.where(F.col("m") > REGION).select("cell", *member))
     crowded = not dense.isEmpty()
     if crowded:
         band = F.floor(F.log("n") / -math.log(threshold / 100) + 1e-9)
         banded = dense.withColumn("band", F.explode(F.array(band, band - 1)))
         held = regions(banded.withColumn("cell", F.concat("cell", F.lit("/").cast("binary"), F.col("band").cast("string").cast("binary"))))
+        kept_regions.append(held)
         cells.append(held.where(F.col("m") <= REGION).select("cell", *member))
-        dense = scratch.write(held.where(F.col("m") > REGION).select("cell", *member))
+        dense = scratch.write(held.where(F.col("m") > REGION).select("cell", *member), dense)
         crowded = not dense.isEmpty()
     small = cells[0]
     for c in cells[1:]:
         small = small.unionByName(c)
-    pairs = small.groupBy("cell").agg(F.collect_list(F.struct(*member)).alias("g"))
-    inner = f"transform(filter(g, y -> y.rep > x.rep AND {may}), y -> struct(x.rep AS a, y.rep AS b))"
-    pairs = scratch.write(pairs.select(F.expr(f"inline(flatten(transform(g, x -> {inner})))")).distinct())
+    small = scratch.write(small, *kept_regions)
+    met = small.groupBy("cell").agg(F.collect_list(F.struct(*member)).alias("g")).withColumn("x", F.array_min("g"))
+    star = f"transform(filter(g, y -> y.rep > x.rep AND {may}), y -> struct(x.rep AS a, y.rep AS b))"
+    pairs = scratch.write(met.select(F.expr(f"inline({star})")).distinct())
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(dense.select(F.col("rep").alias("doc_id"))).distinct()
+    wanted = small.unionByName(dense).select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.join(wanted, "doc_id")
     sets = scratch.write(shingle_sets(texts, shingle))
 
@@ -238,27 +244,36 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
         met = blocks(free, "x").join(blocks(placed, "y"), "cell").select("x", "y")
         return met.mapInPandas(run, "a long, b long").distinct()
 
+    def placed_in(members: DataFrame) -> DataFrame:
+        return members.join(comp.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+
+    def grown(more: DataFrame) -> tuple[DataFrame, DataFrame]:
+        both = scratch.write(links.unionByName(more).distinct(), links)
+        return both, scratch.write(components(both, scratch), comp)
+
     first = pairs.unionByName(against_pivot(dense, dense)).distinct() if crowded else pairs
-    links = scratch.write(verify(first))
+    links = scratch.write(verify(first), pairs)
     comp = scratch.write(components(links, scratch))
+    apart = placed_in(small).groupBy("cell").agg(F.collect_list(F.struct(*member, "c")).alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    inner = f"transform(filter(g, y -> y.rep > x.rep AND y.c <> x.c AND {may}), y -> struct(x.rep AS a, y.rep AS b))"
+    rest = apart.where("lo < hi").select(F.expr(f"inline(flatten(transform(g, x -> {inner})))")).distinct()
+    links, comp = grown(verify(rest))
+    scratch.drop(small)
     for turn in range(PIVOT_ROUNDS if crowded else 0):
-        placed = dense.join(comp.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
+        placed = placed_in(dense)
         main = placed.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
         free = scratch.write(placed.join(main, "cell").where("c <> main").select("cell", *member, "c"))
         if free.isEmpty():
             break
         more = verify(against_pivot(dense, free)) if turn < PIVOT_ROUNDS - 1 else across(free, placed)
-        links = scratch.write(links.unionByName(more).distinct())
-        comp = scratch.write(components(links, scratch))
-
-    found = (
-        full.select("doc_id", "digest").distinct()
-        .join(classes.select("digest", F.col("doc_id").alias("rep")), "digest")
-        .join(comp.withColumnRenamed("v", "rep"), "rep", "left")
-        .select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), F.coalesce("component", "rep").alias("component_id"))
-    )
+        links, comp = grown(more)
+        scratch.drop(free)
+    scratch.drop(dense, sets, links)
+
+    of = classes.select(F.col("digest").alias("of"), F.col("doc_id").alias("v")).join(comp, "v", "left")
+    of = of.select("of", F.coalesce("component", "v").alias("component_id"))
     return (
-        sig.join(found, (F.col("doc_id") == F.col("d")) & (F.col("digest") == F.col("g")), "left")
+        sig.join(of, F.col("doc_id").isNotNull() & (F.col("digest") == F.col("of")), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
