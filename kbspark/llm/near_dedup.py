@@ -8,7 +8,7 @@
    A region that is dense even then is cut into bands of set sizes; similar sets share a band.
 3. The classes of a small region are compared with its first; then those of different components with
    each other.  A region that stays dense is compared with a pivot, the member closest to the
-   consensus of the region's signatures; as long as members lie outside the region's largest
+   consensus of the lowest bits of the region's MinHash values; as long as members lie outside the region's largest
    component, a new pivot is taken from them, and in the end each of those that are left is
    compared with every member of another component.  A pair may only be left out where both
    sides are already known to be connected, so no link between components is lost.
@@ -193,22 +193,17 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
 
     def against_pivot(members: DataFrame, free: DataFrame) -> DataFrame:
         """Pairs of every member with the pivot of its region, taken among ``free``."""
-        signed = free.select("cell", "rep").join(reps, "rep").select("cell", *member, "signature")
         order = Window.partitionBy("cell").orderBy(F.xxhash64("rep"), "rep")
-        sample = signed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).drop("k")
+        sample = free.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).select("cell", "s1", "s2")
 
         def consensus(pdf: pd.DataFrame) -> pd.DataFrame:
-            s = np.array([np.frombuffer(x, ">u4") for x in pdf["signature"]])
-            mode = np.array([v[np.argmax(c)] for v, c in (np.unique(col, return_counts=True) for col in s.T)], ">u4")
-            return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "mode": [mode.tobytes()]})
+            most = [np.unpackbits(pdf[c].to_numpy().view(np.uint8).reshape(-1, 8), axis=1).mean(axis=0) > 0.5 for c in ("s1", "s2")]
+            m1, m2 = (np.packbits(x).view(np.int64)[0] for x in most)
+            return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "m1": [m1], "m2": [m2]})
 
-        def agreement(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                same = [int((np.frombuffer(s, ">u4") == np.frombuffer(m, ">u4")).sum()) for s, m in zip(pdf["signature"], pdf["mode"], strict=True)]
-                yield pdf[["cell", *member]].assign(same=same)
-
-        modes = sample.groupBy("cell").applyInPandas(consensus, "cell binary, mode binary")
-        close = signed.join(modes, "cell").mapInPandas(agreement, "cell binary, rep long, n long, s1 long, s2 long, same int")
+        modes = sample.groupBy("cell").applyInPandas(consensus, "cell binary, m1 long, m2 long")
+        differ = F.bit_count(F.col("s1").bitwiseXOR(F.col("m1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("m2")))
+        close = free.join(modes, "cell").select("cell", *member, (-differ).alias("same"))
         pivot = close.groupBy("cell").agg(F.max(F.struct("same", *member)).alias("y"))
         met = members.select("cell", F.struct(*member).alias("x")).join(pivot, "cell").where(f"x.rep <> y.rep AND {may}")
         return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
@@ -218,6 +213,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
 
         Members meet in blocks, so a row holds two bounded lists of sets, and only links leave it.
         """
+        placed = placed.join(free.select("cell").distinct(), "cell", "left_semi")
         size = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
 
         def blocks(d: DataFrame, name: str) -> DataFrame:
