@@ -27,6 +27,7 @@ from .common import text_of
 
 MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 20_000, 200_000_000
 BITS = 18
+PART_BYTES = 6 << 20  # texts taken together
 EPOCHS = 8
 #: Common function words of English, French, German and Spanish.
 FUNCTION_WORDS = (
@@ -145,6 +146,15 @@ def features(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return hashed, at, n, np.where(n > 0, 1 - seen / np.maximum(1, n), 0.0), line_repeats
 
 
+def parts(texts: pa.Array) -> Iterator[slice]:
+    """Slices of ``texts`` of about PART_BYTES each."""
+    at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(texts)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi > lo:
+            yield slice(int(lo), int(hi))
+
+
 def fit_scorer(rows: list[tuple[float, np.ndarray, float, float]]) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression on soft labels by Adagrad: (feature weights, [bias, word repeats, line repeats])."""
     size = 1 << BITS
@@ -182,7 +192,7 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> tuple[np.ndarray,
     chosen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole[part] for whole in batches for part in parts(whole["text"])):
             hashed, at, n, rw, rl = features(batch["text"])
             ends = np.cumsum(n)
             bags = [hashed[at[e - k : e]].astype(np.int32).ravel().tobytes() for e, k in zip(ends, n, strict=True)]
@@ -211,12 +221,16 @@ def scorer(docs: DataFrame, w: np.ndarray, v: np.ndarray) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, v = shared.value
-        for batch in batches:
-            hashed, at, n, rw, rl = features(batch)
+
+        def one(texts: pa.Array) -> np.ndarray:
+            hashed, at, n, rw, rl = features(texts)
             weights = w[hashed].astype(np.float64).sum(axis=1)
             total = np.bincount(np.repeat(np.arange(len(n)), n), weights[at], minlength=len(n))
             z = total / np.maximum(1, n) + v[0] + v[1] * rw + v[2] * rl
-            yield pa.array(np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0))
+            return np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+
+        for batch in batches:
+            yield pa.array(np.concatenate([np.zeros(0), *(one(batch[part]) for part in parts(batch))]))
 
     return F.arrow_udf(run, "double")(text_of("text"))
 
