@@ -88,6 +88,7 @@ def arithmetic_errors(answers: DataFrame, most: int = 5) -> DataFrame:
     return rows.withColumn("n", n).where(F.col("n") <= most).select("answer_id", "pos", F.col("x.e").alias("expression"), F.round(F.col("expected").cast("double"), 6).alias("expected"))
 
 
+# Fixed value: what counts as a term of an answer.
 TERM = "[A-Za-z0-9][A-Za-z0-9_.:-]{1,}|[一-鿿]{2,}"
 
 

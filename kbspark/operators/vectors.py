@@ -57,15 +57,16 @@ def distance(a: Column, b: Column, metric: str) -> Column:
 
 
 def knn(queries: DataFrame, coll: DataFrame, k: int, metric: str = "cosine", condition: Column | None = None, max_distance: float | None = None,
-        block: int = 256) -> DataFrame:
+        block: int = 1024) -> DataFrame:
     """(query_id, id, distance, rank) of the ``k`` nearest rows for each query (query_id, embedding).
 
     Exact.  Queries meet the collection in blocks: every collection row is scored against a block of
-    queries at once and only a bounded heap per task reaches the shuffle (window group limit).
+    about ``block`` queries at once and only a bounded heap per task reaches the shuffle (window group limit).
     """
     c = coll if condition is None else coll.where(condition)
     q = queries.select("query_id", F.col("embedding").alias("q"))
-    q = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(block)))
+    n = queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).alias("n_blocks"))  # one row
+    q = q.crossJoin(F.broadcast(n)).withColumn("b", F.pmod(F.xxhash64("query_id"), F.col("n_blocks")))
     q = q.groupBy("b").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
     pairs = c.select("id", "embedding").crossJoin(q).select("id", "embedding", F.inline("qs"))
     pairs = pairs.where(F.size("q") == F.size("embedding")).select("query_id", "id", F.round(distance(F.col("q"), F.col("embedding"), metric), 6).alias("distance"))

@@ -49,12 +49,12 @@ CORPUS = "corpus AS (SELECT doc_id AS chunk_id, doc_id, source AS kb_id, lang AS
 STOP = "('is','the','a','an','and','or','of','to','in','for','on','at','by','with','from','as','into','this','that')"
 #: BM25 hits (query_id, chunk_id, bm25_score) of every benchmark item over documents.
 BM25 = f"""
-tok AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS token FROM documents),
-post AS (SELECT chunk_id, token, count(*) AS tf FROM tok WHERE token NOT IN {STOP} GROUP BY ALL),
-dl AS (SELECT chunk_id, sum(tf)::DOUBLE AS dl FROM post GROUP BY ALL),
+tok AS MATERIALIZED (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS token FROM documents),
+post AS MATERIALIZED (SELECT chunk_id, token, count(*) AS tf FROM tok WHERE token NOT IN {STOP} GROUP BY ALL),
+dl AS MATERIALIZED (SELECT chunk_id, sum(tf)::DOUBLE AS dl FROM post GROUP BY ALL),
 st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(tf) FROM post) / (SELECT count(*) FROM documents) AS avgdl),
-raw AS (SELECT token, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY token, n),
-term AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+raw AS MATERIALIZED (SELECT token, count(*) AS df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY token, n),
+term AS MATERIALIZED (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 qt AS (SELECT query_id, token, count(*) AS qtf FROM (
   SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS token FROM benchmark) WHERE token NOT IN {STOP} GROUP BY ALL),
 bm AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25_score

@@ -74,9 +74,9 @@ def children(spark: SparkSession, d: str) -> DataFrame:
     return C.build_children(C.build_parents(blocks(spark, d)), target=256)
 
 
-@query("B12", f"WITH {PARA} SELECT doc_id || '_' || (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1) AS chunk_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INTEGER AS chunk_index, text FROM para WHERE idx % 2 = 0")
+@query("B12", f"WITH {PARA} SELECT doc_id || '_' || (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1) AS chunk_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INTEGER AS chunk_index, text FROM para")
 def numbered(spark: SparkSession, d: str) -> DataFrame:
-    return C.number_chunks(lines(spark, d).where("idx % 2 = 0"), ["idx"]).select("chunk_id", "chunk_index", "text")
+    return C.number_chunks(lines(spark, d), ["idx"]).select("chunk_id", "chunk_index", "text")
 
 
 @query("B13", f"""WITH {PARA}, s AS (SELECT doc_id, count(*) AS stored FROM para WHERE doc_id % 10 <> 4 GROUP BY ALL), e AS (SELECT doc_id, count(*) + max(CASE WHEN doc_id % 10 = 7 THEN 1 ELSE 0 END) AS expected FROM para WHERE doc_id % 10 <> 2 GROUP BY doc_id)

@@ -13,8 +13,6 @@ from kbspark.plans.base import BM25, CORPUS, STOP, corpus, query, questions, tab
 from kbspark.plans.documents import bm25_hits
 from kbspark.plans.vectors import COSINE_SQL, collection, query_vectors
 
-N = 20  # queries with a vector
-
 
 def vec_hits(spark: SparkSession, d: str) -> DataFrame:
     near = V.knn(query_vectors(spark, d), collection(spark, d), 15)
@@ -22,7 +20,7 @@ def vec_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lex_hits(spark: SparkSession, d: str) -> DataFrame:
-    top = L.lexical_topk(bm25_hits(spark, d).where(F.col("query_id") < N), 20).select("query_id", "chunk_id", "bm25_score")
+    top = L.lexical_topk(bm25_hits(spark, d), 20).select("query_id", "chunk_id", "bm25_score")
     return H.normalise_lexical(top.withColumn("exact_match_bonus", F.lit(None).cast("double")))
 
 
@@ -44,9 +42,9 @@ def ranked_hits(spark: SparkSession, d: str) -> DataFrame:
 
 CHAIN = f"""{BM25},
 vec AS (SELECT query_id, chunk_id, round(1 - dist, 6) AS vector_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, chunk_id) AS r FROM (
-  SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round({COSINE_SQL}, 6) AS dist FROM embeddings q, embeddings c WHERE q.vec_id < {N})) WHERE r <= 15),
+  SELECT q.vec_id // 20 AS query_id, c.vec_id AS chunk_id, round({COSINE_SQL}, 6) AS dist FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0)) WHERE r <= 15),
 lt AS (SELECT query_id, chunk_id, bm25_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id) AS r FROM bm
-  WHERE bm25_score > 0 AND query_id < {N}) WHERE r <= 20),
+  WHERE bm25_score > 0) WHERE r <= 20),
 mm AS (SELECT query_id, min(bm25_score) AS lo, max(bm25_score) AS hi FROM lt GROUP BY ALL),
 lex AS (SELECT query_id, chunk_id, bm25_score, round(CASE WHEN hi <= 0 THEN 0.0 WHEN hi = lo THEN 1.0 ELSE (bm25_score - lo) / (hi - lo) END, 6) AS lexical_score FROM lt JOIN mm USING (query_id)),
 fus AS (SELECT query_id, chunk_id, vector_score, bm25_score, lexical_score, round(0.6 * coalesce(vector_score, 0) + 0.4 * coalesce(lexical_score, 0), 6) AS fusion_score
@@ -189,13 +187,11 @@ def final_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parent_rows(spark: SparkSession, d: str) -> DataFrame:
-    p = F.floor(F.col("doc_id") / 2)
-    return table(spark, d, "documents").where("doc_id % 2 = 0").select(
-        p.alias("parent_id"), F.floor(p / 3).alias("doc_id"), (p % 3).cast("int").alias("parent_index"), F.left("text", F.lit(40)).alias("text")
-    )
+    p = F.col("doc_id")
+    return table(spark, d, "documents").select(p.alias("parent_id"), F.floor(p / 3).alias("doc_id"), (p % 3).cast("int").alias("parent_index"), "text")
 
 
-PARENTS = "par AS (SELECT doc_id // 2 AS parent_id, doc_id // 6 AS doc_id, (doc_id // 2 % 3)::INTEGER AS parent_index, left(text, 40) AS text FROM documents WHERE doc_id % 2 = 0)"
+PARENTS = "par AS (SELECT doc_id AS parent_id, doc_id // 3 AS doc_id, (doc_id % 3)::INTEGER AS parent_index, text FROM documents)"
 HYDRATED = f"""{PARENTS}, cn AS (SELECT doc_id, count(*) AS parent_count, max(parent_index) AS last FROM par GROUP BY ALL),
   hy AS (SELECT h.query_id, h.chunk_id, h.pos, h.parent_id, coalesce(p.text, h.text) AS text, p.doc_id AS pdoc, parent_index, parent_count, parent_index > 0 AS has_more_before, parent_index < last AS has_more_after, parent_count = 1 AS document_complete
     FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY pos) AS n FROM rk) WHERE n = 1 OR parent_id IS NULL) h LEFT JOIN par p ON p.parent_id = h.parent_id LEFT JOIN cn ON cn.doc_id = p.doc_id)"""
@@ -216,13 +212,13 @@ def expand(spark: SparkSession, d: str) -> DataFrame:
     return X.expand(hits.join(parents, "parent_id"), parents)
 
 
-@query("E19", f"""WITH {CHAIN}, u AS (SELECT query_id, chunk_id, 'a' AS kb_id, rank_score FROM fin WHERE chunk_id % 3 <> 0 UNION ALL SELECT query_id, chunk_id, 'b', round(rank_score * 0.9, 6) FROM fin WHERE chunk_id % 2 = 0),
+@query("E19", f"""WITH {CHAIN}, u AS (SELECT query_id, chunk_id, 'a' AS kb_id, rank_score FROM fin WHERE chunk_id % 3 <> 0 UNION ALL SELECT query_id, chunk_id, 'b', round(rank_score * 0.9, 8) FROM fin WHERE chunk_id % 2 = 0),
   m AS (SELECT query_id, chunk_id, max(rank_score) AS rank_score, arg_max(kb_id, rank_score) AS kb_id FROM u GROUP BY ALL)
   SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, chunk_id))::INTEGER AS pos FROM m""")
 def collections(spark: SparkSession, d: str) -> DataFrame:
     f = fused(spark, d).select("query_id", "chunk_id", "rank_score")
     a = f.where("chunk_id % 3 <> 0").withColumn("kb_id", F.lit("a"))
-    b = f.where("chunk_id % 2 = 0").withColumn("rank_score", F.round(F.col("rank_score") * 0.9, 6)).withColumn("kb_id", F.lit("b"))
+    b = f.where("chunk_id % 2 = 0").withColumn("rank_score", F.round(F.col("rank_score") * 0.9, 8)).withColumn("kb_id", F.lit("b"))
     return H.merge_collections(a, b)
 
 

@@ -16,12 +16,12 @@ def collection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select((F.col("vec_id") / 20).cast("long").alias("query_id"), "embedding")
 
 
 def _knn_sql(expr: str, condition: str = "", limit: str = "", k: int = 5) -> str:
-    return f"""WITH p AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round({expr}, 6) AS distance
-    FROM embeddings q, embeddings c WHERE q.vec_id < 20 {condition})
+    return f"""WITH p AS (SELECT q.vec_id // 20 AS query_id, c.vec_id AS id, round({expr}, 6) AS distance
+    FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 {condition})
   SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, id))::INTEGER AS rank FROM p {limit}) WHERE rank <= {k}"""
 
 
