@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -97,21 +97,26 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
     """
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, salt = word_ids(tokenizer), 0
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text_"], strict=True):
-                ids = own.encode(text) + end
+    fields = {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long"} | ({"ids": "binary"} if with_ids else {})
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = word_ids(tokenizer)
+        for batch in batches:
+            rows, ends = [], [0]
+            for text in batch:
+                ids = own.encode(text.as_py()) + end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), salt) + ((part,) if with_ids else ()))
-                    salt += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt"] + ["ids"] * with_ids).astype({"doc_id": "Int64"})
+                    rows.append((n, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(fields)])
+                ends.append(len(rows))
+            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+            flat = pa.StructArray.from_arrays([pa.array(c, kinds[k]) for c, k in zip(columns, fields.values(), strict=True)], list(fields))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long" + ", ids binary" * with_ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text_"))
-    return rows.mapInPandas(run, schema)
+    cut = F.arrow_udf(run, "array<struct<" + ",".join(f"{n}:{k}" for n, k in fields.items()) + ">>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), cut(text_of("text")).alias("pieces"))
+    return rows.select("doc_id", F.inline("pieces")).withColumn("salt", F.monotonically_increasing_id())
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,24 +159,25 @@ def pack(pieces: DataFrame, n_pieces: int, capacity: int = CAPACITY, shard_piece
     columns = [c for c in pieces.columns if c != "salt"]
     kept = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in columns)
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "order"], ascending=[False, True], kind="stable")  # long pieces first
-        bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
-        return pdf[columns].assign(sequence_id=bins + (int(pdf["shard"].iloc[0]) << 40), offset=offsets)
+    def place(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("length", "descending"), ("order", "ascending")])  # long pieces first
+        bins, offsets = sum_of_squares(t["length"].to_numpy(), capacity)
+        shard = t["shard"][0].as_py()
+        return t.select(columns).append_column("sequence_id", pa.array(bins + (shard << 40))).append_column("offset", pa.array(offsets))
 
     return (
         pieces.withColumn("order", F.xxhash64("doc_id", "piece", "salt", "ids_crc32"))
         .withColumn("shard", F.pmod("order", F.lit(shards)))
         .drop("salt")
         .groupBy("shard")
-        .applyInPandas(place, f"{kept}, sequence_id long, offset long")
+        .applyInArrow(place, f"{kept}, sequence_id long, offset long")
     )
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset: all rows of ``docs``, packed.
 
-    Extra columns are ignored; an empty table gives an empty result.
+    Null ids pass through; extra columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = scratch.write(cut_pieces(docs, tokenizer, capacity, with_ids=with_ids))

@@ -99,6 +99,29 @@ def test_packing_of_nothing(spark):
     assert packing.pack_documents(docs(spark, []), WORD_BPE).count() == 0
 
 
+BIG = 2**53 + 1
+
+
+def test_null_ids_leave_large_ones_exact(spark):
+    """Beside a null id, in every operator that takes texts to Python."""
+    texts = ["a b c d e f", "a b c d e f", None]
+    some = spark.createDataFrame([(BIG, texts[0]), (None, texts[1]), (None, texts[2])], DOCS).coalesce(1)
+    lab = spark.createDataFrame([(BIG, 1)], "doc_id long, toxic int")
+    for out in (
+        packing.pack_documents(some, WORD_BPE), near_dedup.near_dedup(some), toxicity.toxicity(some, lab), quality.classify(some), katz.lm_scores(some),
+    ):
+        assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 0, BIG]
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    names = ["n_lines", "n_dropped", "gone_", "gone__", "row__", "rid__", "doc__", "score", "worst", "text_", "quality_score", "p", "r"]
+    some = docs(spark, ["some words of a text that repeat\nsome words of a text that repeat", None, ""]).withColumns({c: F.lit(c) for c in names})
+    lab = spark.createDataFrame([], "doc_id long, toxic int")
+    for out in (line_dedup.lean_documents(some), toxicity.reject_toxic(some, lab), quality.reject_low_quality(some)):
+        assert out.columns == some.columns and all(r[c] == c for r in out.collect() for c in names)
+    assert line_dedup.line_dedup(docs(spark, [])).count() == 0 and toxicity.toxicity(docs(spark, []), lab).count() == 0
+
+
 # --- 3 line dedup
 
 def similar(a, b):
