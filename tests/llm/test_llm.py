@@ -443,3 +443,24 @@ def test_katz_of_nothing_and_of_untrained_rows(spark):
     some = spark.createDataFrame([(None, "a b"), (2**53 + 1, None), (None, "a b")], "doc_id long, text string").withColumn("score", F.lit(1))
     out = katz.katz_scores(some, F.lit(False)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, r.score) for r in out) == [(0, 3, 0, 0, 0.0)] * 2 + [(2**53 + 1, 1, 0, 0, 0.0)]
+
+
+def test_quick_verdict_agrees_with_edit_distance(spark):
+    """Pairs that the bounds take out are too far apart, pairs that they link are near enough; edits of every kind, repeated passages."""
+    rng = random.Random(11)
+    words = ["the", "of", "mill", "river", "stone", "a", "winter", "é", "cart", "old", "bridge", "漢字"]
+    pairs = []
+    for n in range(300):
+        x = [rng.choice(words) for _ in range(rng.randint(1, 60))] * rng.choice([1, 1, 1, 4])
+        y = list(x) if n % 4 else ["".join(rng.choices("bdfgkpqz", k=rng.randint(1, 9))) for _ in x]
+        for _ in range(rng.choice([0, 1, 2, 5, 9])):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.choice([0, 1])] = rng.choice([[], [rng.choice(words)], [rng.choice(words) + "s"]])
+            y = y or ["a"]
+        pairs.append((n, " ".join(x), " ".join(y)))
+    df = spark.createDataFrame(pairs, "n long, ta string, tb string").withColumn("most", line_dedup.most_edits(F.greatest(F.length("ta"), F.length("tb"))))
+    truth = {r.n: r.d <= r.most for r in df.select("n", "most", F.levenshtein("ta", "tb").alias("d")).collect()}
+    got = {r.n: r.alike for r in line_dedup.quick_verdict(df).select("n", "alike").collect()}
+    assert not [n for n, near in truth.items() if near and n not in got]
+    assert not [n for n, alike in got.items() if alike and not truth[n]]
+    assert sum(1 for a in got.values() if a) > 60 and len(got) < 260
