@@ -33,16 +33,22 @@ def build_bm25(chunks: DataFrame, key: str = "chunk_id", text: str = "text") ->
     idf(t) = ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes EPSILON times the mean over all
     terms before replacement.  Chunks without tokens count in N and the mean length.
     """
-    postings = token_rows(chunks, key, text).groupBy(F.col(key).alias("chunk_id"), "token").agg(F.count(F.lit(1)).alias("tf"))
-    length = Window.partitionBy("chunk_id")
-    postings = postings.withColumn("dl", F.sum("tf").over(length))
+    words = F.filter(tokens(F.coalesce(text, F.lit(""))), lambda t: ~t.isin(STOP_WORDS))
+    rows = chunks.select(F.col(key).alias("chunk_id"), words.alias("words")).withColumn("dl", F.size("words").cast("long"))
+    postings = rows.select("chunk_id", "dl", F.explode("words").alias("token")).groupBy("chunk_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    postings = postings.select("chunk_id", "token", "tf", "dl")
     total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
     stats = chunks.agg(F.count(F.lit(1)).alias("n")).crossJoin(total).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))
+    return Index(postings, weighted_terms(df), stats)
+
+
+def weighted_terms(df: DataFrame) -> DataFrame:
+    """(token, df, n: chunks in all) -> token, df, idf."""
     df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.agg(F.avg("raw").alias("mean"))
+    mean = df.agg(F.avg("raw").alias("mean"))  # one row
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
-    return Index(postings, df.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf")), stats)
+    return df.crossJoin(F.broadcast(mean)).select("token", "df", idf.alias("idf"))
 
 
 def bm25_search(queries: DataFrame, index: Index, key: str = "query_id", text: str = "query") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from kbspark.functions import text as T
 from kbspark.operators import chunking as C
 from kbspark.operators import documents as D
 from kbspark.plans.base import query, table
+from kbspark.sources.corpus import GenerationSink
+from kbspark.sources.shared import shared_folder
 
 PARA = r"""para AS (SELECT doc_id, unnest(range(len(l)))::INTEGER AS idx, unnest(l) AS text FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)),
   lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents))"""
@@ -91,3 +95,17 @@ def validation(spark: SparkSession, d: str) -> DataFrame:
   SELECT * FROM (SELECT doc_id, text, floor(len(regexp_extract_all(text, '[^\s]+')) * 1.2)::INTEGER AS tokens FROM c) WHERE tokens <= 400""")
 def full_context(spark: SparkSession, d: str) -> DataFrame:
     return C.full_context(lines(spark, d).withColumnRenamed("idx", "parent_index"), 400)
+
+
+@query("A13", f"""WITH {PARA}, c AS (SELECT doc_id, count(*) AS chunks, sum(length(text) * (idx + 1))::BIGINT AS weight FROM para GROUP BY doc_id),
+  lost AS (SELECT count(*) AS first_try, count(*) FILTER (doc_id % 10 = 4) AS second FROM c)
+  SELECT doc_id, chunks, weight, 'g1' AS index_id, first_try AS retried, second AS refused FROM c, lost""")
+def generations(spark: SparkSession, d: str) -> DataFrame:
+    """Two generations: the first is written without its first chunks, refused and retried; the second lacks documents and never becomes active."""
+    chunks, sink = lines(spark, d), GenerationSink(spark, f"{shared_folder(spark)}/generations-{uuid.uuid4().hex}")
+    expected = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("expected"))
+    retried = sink.publish(chunks.where("idx > 0"), "g1", expected).count()
+    sink.publish(chunks, "g1", expected)
+    refused = sink.publish(chunks.where("doc_id % 10 <> 4"), "g2", expected).count()
+    got = sink.read().groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text") * (F.col("idx") + 1)).alias("weight"))
+    return got.withColumns({"index_id": F.lit(sink.active()), "retried": F.lit(retried).cast("long"), "refused": F.lit(refused).cast("long")})

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.operators import documents as D
 from kbspark.operators import lexical as L
+from kbspark.operators.lexical_store import LexicalStore
 from kbspark.plans.base import BM25, CORPUS, STOP, corpus, query, questions, table
 from kbspark.sources.corpus import read_corpus
+from kbspark.sources.shared import shared_folder
 
 
 @query("A1", "SELECT lang, count(*) AS docs, sum(length(text)) AS chars FROM documents GROUP BY lang")
@@ -132,11 +137,50 @@ def tokeniser(spark: SparkSession, d: str) -> DataFrame:
 
 @query("C2", f"WITH {BM25} SELECT token, df, round(idf, 6) AS idf FROM term")
 def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
-    return L.build_bm25(corpus(spark, d)).terms.select("token", "df", F.round("idf", 6).alias("idf"))
+    return index_of(spark, d).terms().select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+def index_of(spark: SparkSession, d: str) -> LexicalStore:
+    """The stored index of the corpus in ``d``, brought up to date; one for each application and corpus."""
+    name = hashlib.sha256(d.encode()).hexdigest()[:16]
+    store = LexicalStore(spark, f"{shared_folder(spark)}/lexical-{spark.sparkContext.applicationId}/{name}")
+    store.refresh(corpus(spark, d))
+    return store
 
 
 def bm25_hits(spark: SparkSession, d: str) -> DataFrame:
-    return L.bm25_search(questions(spark, d), L.build_bm25(corpus(spark, d)))
+    return index_of(spark, d).search(questions(spark, d))
+
+
+def merged_index(spark: SparkSession, d: str) -> LexicalStore:
+    """An index built when a twentieth of the corpus was missing, a twentieth other and a twentieth more, then merged with the present corpus."""
+    c, store = corpus(spark, d), LexicalStore(spark, f"{shared_folder(spark)}/lexical-{uuid.uuid4().hex}")
+    turn = F.col("chunk_id") % 20
+    earlier = c.where(turn != 0).withColumn("text", F.when(turn == 1, F.reverse("text")).otherwise(F.col("text")))
+    dropped = c.where(turn == 2).withColumn("chunk_id", -1 - F.col("chunk_id"))
+    store.refresh(earlier.unionByName(dropped))
+    if store.refresh(c) not in ("merged", "reused"):
+        raise AssertionError("a twentieth of changes is merged, not built")
+    return store
+
+
+@query("C7_merge", f"""WITH {BM25} SELECT token, count(*) AS df, round(any_value(idf), 6) AS idf, sum(tf)::BIGINT AS n, sum(tf * chunk_id)::BIGINT AS places
+  FROM post JOIN term USING (token) GROUP BY token""")
+def merged_terms(spark: SparkSession, d: str) -> DataFrame:
+    store = merged_index(spark, d)
+    found = store.postings().groupBy("token").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("chunk_id")).alias("places"))
+    return store.terms().join(found, "token").select("token", "df", F.round("idf", 6).alias("idf"), "n", "places")
+
+
+@query("C7_search", f"WITH {BM25} SELECT * FROM bm")
+def merged_hits(spark: SparkSession, d: str) -> DataFrame:
+    return merged_index(spark, d).search(questions(spark, d))
+
+
+@query("C6_bounds", f"""WITH {BM25} SELECT * FROM (SELECT *, bm25_score AS bm25_rank_score, (row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, chunk_id))::INTEGER AS rank
+  FROM bm WHERE bm25_score > 0) WHERE rank <= 5""")
+def bounded_top(spark: SparkSession, d: str) -> DataFrame:
+    return index_of(spark, d).top_k(questions(spark, d), 5)
 
 
 @query("C3", f"WITH {BM25} SELECT * FROM bm")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kbspark.functions import text as T
 from kbspark.operators import lexical as L
 from kbspark.operators import understanding as U
 from kbspark.plans.answers import _choose, _choose_sql
 from kbspark.plans.base import BM25, query, questions, table
 from kbspark.plans.documents import bm25_hits
+from kbspark.sources.shared import shared_folder
 from kbspark.streaming import limits as J
+from kbspark.streaming import stateful as S
 
 #: Questions around the first word of a document, by doc_id % 10.
 FORMS = ("你好", "{} 知识库里怎么写", "总结一下", "今天天气怎么样 {}", "{}是什么", "把上面的内容改写", "现在几点了", "{} 的参数是多少 配置", "{} text", "重新检索 {}")
@@ -131,12 +136,21 @@ def keyed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", "ts", kind.alias("kind"))
 
 
-@query("J1", "SELECT count(*) AS documents, count(DISTINCT sha256(text)) AS kept FROM documents WHERE strlen(text) BETWEEN 1 AND 20000000")
+def paragraphs(docs: DataFrame) -> DataFrame:
+    parts = F.filter(F.transform(F.split("text", "\n"), T.collapse), lambda p: p != "")
+    return docs.select("doc_id", F.posexplode(parts).alias("idx", "text"))
+
+
+@query("J1", r"""WITH taken AS (SELECT first(doc_id ORDER BY doc_id % 2, doc_id) AS doc_id, text FROM documents WHERE strlen(text) BETWEEN 1 AND 20000000 GROUP BY text)
+  SELECT doc_id, n AS chunks FROM (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')) <> '')) AS n FROM taken) WHERE n > 0""")
 def ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The batch form of the ingest stream: admitted documents and distinct contents."""
-    docs = table(spark, d, "documents").where(F.octet_length("text").between(1, 20_000_000))
-    each = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    return each.agg(F.sum("n").alias("documents"), F.count(F.lit(1)).alias("kept"))
+    """Chunks of each document that the stream took, run twice: half of the documents arrive first, then all of them."""
+    docs, root = table(spark, d, "documents").select("doc_id", "text"), f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    for arriving in (docs.where("doc_id % 2 = 0"), docs):
+        arriving.write.mode("append").parquet(f"{root}/in")
+        files = spark.readStream.schema(docs.schema).parquet(f"{root}/in")
+        J.ingest_stream(files, f"{root}/out", f"{root}/checkpoint", paragraphs).awaitTermination()
+    return spark.read.parquet(f"{root}/out/chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 @query("J2")
@@ -144,14 +158,36 @@ def usage(spark: SparkSession, d: str) -> DataFrame:
     return J.usage_limits(keyed(spark, d), rpm=1, daily=5)
 
 
-@query("J3", """WITH e AS (SELECT user_id AS key, event_id, epoch(date_trunc('second', ts))::BIGINT AS t, event_type FROM events), p AS (SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY key ORDER BY t, event_id) AS ep FROM e),
-  c AS (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY key, ep ORDER BY t RANGE BETWEEN 35999 PRECEDING AND CURRENT ROW) AS f,
-    list(t) FILTER (event_type = 'error') OVER (PARTITION BY key, ep ORDER BY t RANGE BETWEEN 35999 PRECEDING AND CURRENT ROW) AS l FROM p)
-  SELECT key, event_id, f::INTEGER AS failures, f >= 2 AS blocked, CASE WHEN f >= 2 THEN greatest(1, list_sort(l)[f - 1] + 36000 - t)::INTEGER END AS wait FROM c""")
+#: decisions in order of second and event_id; the window holds more than the last 36,000 seconds' failures never
+LIMITED = """WITH e AS (SELECT user_id AS key, event_id, epoch(date_trunc('second', ts))::BIGINT AS t, event_type = 'error' AS failed, event_type = 'purchase' AS good FROM events),
+  p AS (SELECT *, sum(good::INT) OVER (PARTITION BY key ORDER BY t, event_id) AS ep FROM e),
+  c AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY key, ep ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)
+      - count(*) FILTER (failed) OVER (PARTITION BY key, ep ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 36000 PRECEDING) AS f,
+    list(t) FILTER (failed) OVER (PARTITION BY key, ep ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS l FROM p)
+  SELECT key, event_id, f::INTEGER AS failures, f >= 2 AS blocked, CASE WHEN f >= 2 THEN greatest(1, l[len(l) - 1] + 36000 - t)::INTEGER END AS wait FROM c"""
+
+
+@query("J3", LIMITED)
 def failures(spark: SparkSession, d: str) -> DataFrame:
     return J.failure_limiter(keyed(spark, d), 2, 36000)
 
 
+@query("J3_stream", LIMITED)
+def failures_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same decisions by keyed state: a third of the time span arrives after the other; what a block's end adds has no event_id."""
+    events, root = keyed(spark, d), f"{shared_folder(spark)}/limiter-{uuid.uuid4().hex}"
+    S.use_rocksdb(spark)
+    span = F.ceil(3 * F.percent_rank().over(Window.orderBy("day")))
+    days = events.select(F.to_date("ts").alias("day")).distinct().withColumn("third", F.greatest(F.lit(1), span))
+    events = events.withColumn("day", F.to_date("ts")).join(days, "day").drop("day")
+    for third in (1, 2, 3):
+        events.where(F.col("third") == third).drop("third").write.mode("append").parquet(f"{root}/in")
+        files = spark.readStream.schema(events.drop("third").schema).parquet(f"{root}/in")
+        out = S.failure_limiter_stream(files, 2, 36000).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+        out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").where("event_id IS NOT NULL").drop("t")
+
+
 @query("J4", """WITH e AS (SELECT user_id AS key, epoch(date_trunc('second', ts))::BIGINT AS t FROM events), n AS (SELECT *, coalesce((t - lag(t) OVER (PARTITION BY key ORDER BY t) >= 3600)::INT, 1) AS new FROM e),
   s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM n) SELECT key, min(t) AS start, max(t) + 3600 AS "end", count(*) AS n FROM s GROUP BY key, s""")
 def sessions(spark: SparkSession, d: str) -> DataFrame:

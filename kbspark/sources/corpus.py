@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.functions.text import basename, file_suffix
+from kbspark.operators.chunking import validate_generation
+from kbspark.sources.shared import exists
 
 READABLE = {".txt": "text", ".md": "text", ".markdown": "text", ".html": "text", ".htm": "text", ".csv": "text", ".json": "text", ".parquet": "parquet"}
 
@@ -30,3 +34,43 @@ def write_generation(chunks: DataFrame, path: str, index_id: str) -> None:
     chunks.withColumn("index_id", F.lit(index_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "index_id"
     ).parquet(path)
+
+
+class GenerationSink:
+    """Generations of chunks (doc_id, ...) under one path, of which at most one is active.
+
+    A generation is published in two steps: it is written, then what can be read back of it is counted, and only if every document has as
+    many chunks as expected does the pointer move.  The pointer is a table of switches, one small file each, written whole; readers
+    take the latest, so they see the old generation until the new one is complete and checked.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def publish(self, chunks: DataFrame, index_id: str, expected: DataFrame) -> DataFrame:
+        """Write ``chunks`` as ``index_id`` and make it active if its counts are those of ``expected`` (doc_id, expected).
+
+        Gives the problems (doc_id, expected, stored, problem), none where it became active.  A retry replaces what it
+        wrote before; the active generation can't be written again.
+        """
+        if index_id == self.active():
+            raise ValueError(f"{index_id} is active and immutable")
+        write_generation(chunks, f"{self.path}/generations", index_id)
+        problems = validate_generation(self.read(index_id), expected)
+        if problems.isEmpty():
+            switch = self.spark.createDataFrame([(time.time_ns(), index_id)], "at long, index_id string")
+            switch.coalesce(1).write.mode("append").parquet(f"{self.path}/active")
+        return problems
+
+    def active(self) -> str | None:
+        if not exists(self.spark, f"{self.path}/active"):
+            return None
+        last = self.spark.read.parquet(f"{self.path}/active").orderBy(F.desc("at")).first()
+        return last and last.index_id
+
+    def read(self, index_id: str | None = None) -> DataFrame:
+        """The chunks of a generation, by default the active one."""
+        wanted = index_id or self.active()
+        if wanted is None:
+            raise ValueError("no generation is active")
+        return self.spark.read.parquet(f"{self.path}/generations").where(F.col("index_id") == wanted).drop("index_id")

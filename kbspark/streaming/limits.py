@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kbspark.functions.text import content_hash
+from kbspark.operators.chunking import recursive_chunks
+from kbspark.sources.shared import exists
 
 DECISION = "key long, event_id long, allowed boolean, reason string, retry_after int"
 STATE = "minute_start double, minute_count int, day long, day_count int"
@@ -74,20 +76,30 @@ def usage_limits_stream(events: DataFrame, rpm: int, daily: int) -> DataFrame:
 
 
 def failure_limiter(events: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """(key, event_id, failures, blocked, wait): failures (kind ``failure``) in the trailing window since the last ``success``.
+    """(key, event_id, failures, blocked, wait): failures (kind ``failure``) in the trailing window since the last ``success``, in
+    order of second and event_id.
 
-    wait is the time until the window holds fewer than ``limit`` again, at least 1.
+    wait is the time until the window holds fewer than ``limit`` again, at least 1.  A decision depends on the trailing window only,
+    so a key's events are dealt out by slices of time, each with the events of one window before it: a hot key is split.
     """
-    order = Window.partitionBy("key").orderBy("t", "event_id")
+    slice_ = max(16 * seconds, 3600)
     e = events.select("key", "event_id", F.unix_timestamp("ts").alias("t"), "kind")
-    e = e.withColumn("epoch", F.coalesce(F.sum((F.col("kind") == "success").cast("int")).over(order), F.lit(0)))
-    w = Window.partitionBy("key", "epoch").orderBy("t").rangeBetween(-(seconds - 1), 0)
-    failed = F.when(F.col("kind") == "failure", F.col("t"))
-    e = e.withColumns({"failures": F.count(failed).over(w), "times": F.sort_array(F.collect_list(failed).over(w))})
+    own = F.floor(F.col("t") / slice_)
+    also = F.when(F.pmod("t", F.lit(slice_)) >= slice_ - seconds, F.array(own, own + 1)).otherwise(F.array(own))
+    e = e.withColumn("own", own).withColumn("slice", F.explode(also))
+    order = Window.partitionBy("key", "slice").orderBy("t", "event_id")
+    e = e.withColumn("epoch", F.coalesce(F.sum((F.col("kind") == "success").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    epoch = Window.partitionBy("key", "slice", "epoch")
+    so_far, failed = epoch.orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0), F.when(F.col("kind") == "failure", F.col("t"))
+    before = epoch.orderBy("t").rangeBetween(Window.unboundedPreceding, -seconds)
+    e = e.withColumn("failures", F.count(failed).over(so_far) - F.count(failed).over(before))
+    # the failure that has to leave the window first: the limit-th last, carried on to the events after it
+    e = e.withColumn("nth", F.lag("t", limit - 1).over(Window.partitionBy("key", "slice", "epoch", failed.isNull()).orderBy("t", "event_id")))
+    oldest = F.last(F.when(failed.isNotNull(), F.struct("nth")), ignorenulls=True).over(so_far)["nth"]
     blocked = F.col("failures") >= limit
-    oldest = F.get("times", F.col("failures") - limit)
     wait = F.when(blocked, F.greatest(F.lit(1), oldest + seconds - F.col("t")).cast("int"))
-    return e.select("key", "event_id", F.col("failures").cast("int").alias("failures"), blocked.alias("blocked"), wait.alias("wait"))
+    e = e.select("key", "event_id", "own", "slice", F.col("failures").cast("int").alias("failures"), blocked.alias("blocked"), wait.alias("wait"))
+    return e.where("own = slice").drop("own", "slice")
 
 
 def sliding_sessions(events: DataFrame, ttl_seconds: int) -> DataFrame:
@@ -110,17 +122,26 @@ def liveness(heartbeats: DataFrame, stale_seconds: int, now=None) -> DataFrame:
     return heartbeats.groupBy("key").agg(F.max(F.unix_timestamp("ts")).alias("last")).select("key", "last", (now - F.col("last") > stale_seconds).alias("stale"))
 
 
-def ingest_stream(files: DataFrame, target: str, checkpoint: str, max_bytes: int = 20_000_000, late: str = "1 hour") -> StreamingQuery:
-    """Append new documents (doc_id, text, ts) of a stream to the table at ``target``: admitted, without repeated content.
+def ingest_stream(files: DataFrame, target: str, checkpoint: str, chunker: Callable[[DataFrame], DataFrame] = recursive_chunks, max_bytes: int = 20_000_000) -> StreamingQuery:
+    """New documents (doc_id, text) of a stream become chunks: admitted, hashed, each content once, cut by ``chunker``, appended.
 
-    The source may deliver again: repeats within the watermark are dropped by state, and each
-    micro-batch is written under its own number, so a replayed batch replaces itself.
+    ``target/documents`` (doc_id, hash) is the index of all contents that were ever taken; a micro-batch is held against it, so repeats
+    are found however late they come, and of equal texts in one micro-batch the smallest id is taken.  ``target/chunks`` gets what
+    ``chunker`` makes of (doc_id, text).  Both are written by number of the micro-batch: one that is replayed replaces its own output and
+    does not look at it.
     """
     size = F.octet_length(F.coalesce("text", F.lit("")))
     good = files.where((size > 0) & (size <= max_bytes)).withColumn("hash", content_hash(F.col("text")))
-    once = good.withWatermark("ts", late).dropDuplicatesWithinWatermark(["hash"])
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
-
-    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def take(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = batch.groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
+        if exists(spark, f"{target}/documents"):
+            known = spark.read.parquet(f"{target}/documents").where(F.col("batch") < number).select("hash")
+            first = first.join(known, "hash", "left_anti")
+        first.select("doc_id", "hash").write.mode("overwrite").parquet(f"{target}/documents/batch={number}")
+        taken = spark.read.parquet(f"{target}/documents/batch={number}")
+        new = batch.join(taken, ["hash", "doc_id"], "left_semi").dropDuplicates(["hash"])
+        chunker(new.select("doc_id", "text")).write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
+
+    return good.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,7 +1,9 @@
 """Hand-computed fixtures for folds, promotions, limits and streams."""
 
 import datetime as dt
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
@@ -16,6 +18,7 @@ from kbspark.operators import understanding as U
 from kbspark.operators import vectors as V
 from kbspark.sources import corpus
 from kbspark.streaming import limits as J
+from kbspark.streaming import stateful as S
 
 
 def value(spark, column, **row):
@@ -221,12 +224,82 @@ def test_session_stream_equals_batch(spark, tmp_path):
     assert sorted(map(row, spark.table("sessions").collect())) == sorted(map(row, batch.collect()))
 
 
-def test_ingest_stream_writes_each_content_once(spark, tmp_path):
-    t = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(1, "a", t), (2, "a", t), (3, "b", t), (4, "", t)], "event_id long, text string, ts timestamp")
-    q = J.ingest_stream(replay(spark, df, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination(60)
-    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+def test_ingest_stream_takes_each_content_once_and_cuts_it(spark, tmp_path):
+    rows = [(1, "a b", 0), (2, "a b", 1), (3, "b", 2), (4, "", 3), (5, None, 4), (6, "b", 5), (7, "c c c", 6), (8, "a b", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, event_id long")
+    chunker = lambda docs: C.recursive_chunks(docs, size=3, overlap=0)
+    target, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    files = replay(spark, df, str(tmp_path / "in"), 4).drop("event_id")
+    J.ingest_stream(files, target, checkpoint, chunker).awaitTermination(120)
+    taken = {r.hash: r.doc_id for r in spark.read.parquet(f"{target}/documents").collect()}
+    assert len(taken) == 3
+    got = sorted((r.doc_id, r.idx, r.text) for r in spark.read.parquet(f"{target}/chunks").collect())
+    a, b = (next(r.doc_id for r in spark.read.parquet(f"{target}/chunks").collect() if r.text == t) for t in ("a b", "b"))
+    assert got == sorted([(a, 0, "a b"), (b, 0, "b"), (7, 0, "c c"), (7, 1, "c")])
+    # the same and one more, long after: only the new content is taken
+    spark.createDataFrame([(9, "b", 8), (10, "d", 9)], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    J.ingest_stream(files, target, checkpoint, chunker).awaitTermination(120)
+    assert sorted(r.doc_id for r in spark.read.parquet(f"{target}/documents").collect()) == sorted([*taken.values(), 10])
+
+
+def test_ingest_of_a_replayed_batch_replaces_itself(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for checkpoint in ("cp1", "cp2"):  # a fresh checkpoint delivers the files again, as batch 0
+        files = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        J.ingest_stream(files, str(tmp_path / "out"), str(tmp_path / checkpoint)).awaitTermination(60)
+        assert [r.text for r in spark.read.parquet(str(tmp_path / "out/chunks")).collect()] == ["a"]
+
+
+def test_a_block_is_released_by_its_timer(spark, tmp_path):
+    S.use_rocksdb(spark)
+    rows = [(1, 0, "failure"), (1, 10, "failure"), (2, 10, "failure"), (2, 12, "failure"), (2, 15, "success"), (1, 200, "failure"), (3, 900, ""), (3, 2000, "")]
+    df = times(spark, rows)
+    drain(S.failure_limiter_stream(replay(spark, df, str(tmp_path / "in"), 4), 2, 300), "limited")
+    start = min(J.failure_limiter(df, 2, 300).join(df, ["key", "event_id"]).select(F.unix_timestamp("ts")).collect())[0]
+    got = spark.table("limited").collect()
+    key = lambda r: (r.key, r.event_id)
+    decided = sorted((r for r in got if r.event_id is not None), key=key)
+    assert [tuple(r)[:2] + tuple(r)[3:] for r in decided] == [tuple(r) for r in sorted(J.failure_limiter(df, 2, 300).collect(), key=key)]
+    # key 1 was blocked until 310, by its failure at 200 still: two failures in the window end when that of 10 leaves it; key 2's success cancels its timer
+    assert [(r.key, r.t - start, r.failures, r.blocked) for r in got if r.event_id is None] == [(1, 310, 1, False)]
+
+
+def test_limiter_splits_a_hot_key_by_time(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = sorted((1, rng.randrange(60_000), rng.choice(["failure", "failure", "other", "success"])) for _ in range(400))
+    got = J.failure_limiter(times(spark, rows), 3, 500).orderBy("event_id").collect()
+    for n, (_, t, _) in enumerate(rows):
+        past = rows[: n + 1]
+        since = max((i for i, r in enumerate(past) if r[2] == "success"), default=-1)
+        near = [r[1] for r in past[since + 1 :] if r[2] == "failure" and r[1] > t - 500]
+        wait = max(1, near[-3] + 500 - t) if len(near) >= 3 else None
+        assert (got[n].failures, got[n].blocked, got[n].wait) == (len(near), len(near) >= 3, wait)
+
+
+def test_a_silent_worker_is_reported_once_and_again_after_it_came_back(spark, tmp_path):
+    S.use_rocksdb(spark)
+    beat = lambda k, s: spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s))], "key long, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    beat(1, 0)
+    stream = spark.readStream.schema("key long, ts timestamp").parquet(str(tmp_path / "in"))
+    q = S.liveness_alerts(stream, 2).writeStream.format("memory").queryName("alerts").outputMode("append").start()
+
+    def until(n):
+        for _ in range(240):
+            got = [r.alert for r in spark.table("alerts").collect()]
+            if len(got) >= n or q.exception():
+                break
+            time.sleep(0.5)
+        return got
+
+    assert until(1) == ["stale"]
+    time.sleep(3)
+    assert until(1) == ["stale"]
+    beat(1, 60)
+    assert until(3)[:3] == ["stale", "back", "stale"]
+    q.stop()
 
 
 def test_generation_retry_replaces_only_its_own(spark, tmp_path):
@@ -238,6 +311,22 @@ def test_generation_retry_replaces_only_its_own(spark, tmp_path):
     assert sorted(r.index_id for r in spark.read.parquet(path).collect()) == ["g1", "g2"]
 
 
+def test_only_a_checked_generation_becomes_active(spark, tmp_path):
+    sink = corpus.GenerationSink(spark, str(tmp_path / "sink"))
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string")
+    expected = spark.createDataFrame([(1, 2), (2, 1)], "doc_id long, expected long")
+    assert [(r.doc_id, r.problem) for r in sink.publish(rows((1, "a"), (2, "b")), "g1", expected).collect()] == [(1, "count")]
+    assert sink.active() is None
+    with pytest.raises(ValueError):
+        sink.read()
+    assert sink.publish(rows((1, "a"), (1, "c"), (2, "b")), "g1", expected).isEmpty() and sink.active() == "g1"
+    assert {r.problem for r in sink.publish(rows((1, "x"), (3, "y")), "g2", expected).collect()} == {"count", "empty", "unknown"}
+    assert sorted(r.text for r in sink.read().collect()) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        sink.publish(rows((1, "z")), "g1", expected)
+    assert sink.publish(rows((1, "x"), (1, "y"), (2, "z")), "g2", expected).isEmpty() and sink.active() == "g2"
+
+
 def test_read_corpus(spark, tmp_path):
     (tmp_path / "x.txt").write_text("hello\nworld")
     (tmp_path / "y.md").write_text("no")
