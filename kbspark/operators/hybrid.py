@@ -6,9 +6,10 @@ null, not zero.  Every ordering ends with chunk_id, so results do not depend on
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,6 +247,40 @@ def rerank(hits: DataFrame, scorer: Callable[[DataFrame], Column] | Column, pool
     return h.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc_nulls_last(), "pos")))
 
 
+def request_scores(hits: DataFrame, fn: Callable[[str, list[str]], Sequence[float]], pool: int = 40) -> DataFrame:
+    """(query_id, chunk_id, raw_score, rerank_error): ``fn`` (query, texts -> scores) over the first ``pool`` hits of each request, in their order.
+
+    Hits: query_id, chunk_id, pos, query, text.  A request is one call; what it raises, or an answer of another length, is kept as its error
+    and leaves its scores null, and no other request's.  The requests of a task come in Arrow batches; a pool is bounded by ``pool``.
+    """
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.struct([("scores", pa.list_(pa.float64())), ("error", pa.string())])
+        for queries, texts in batches:
+            out = []
+            for query, candidates in zip(queries.to_pylist(), texts.to_pylist(), strict=True):
+                try:
+                    scores = [float(x) for x in fn(query or "", [t or "" for t in candidates])]
+                    if len(scores) != len(candidates):
+                        raise ValueError(f"{len(scores)} scores for {len(candidates)} texts")
+                    out.append({"scores": scores, "error": None})
+                except Exception as e:  # noqa: BLE001  a request that fails keeps its order
+                    out.append({"scores": None, "error": f"{type(e).__name__}: {e}"})
+            yield pa.array(out, kind)
+
+    top = hits.where(F.col("pos") <= pool).groupBy("query_id").agg(F.first("query", ignorenulls=True).alias("query"), F.sort_array(F.collect_list(F.struct("pos", "chunk_id", "text"))).alias("c"))
+    answer = F.arrow_udf(run, "scores array<double>, error string")(F.col("query"), F.transform("c", lambda x: x.text))
+    each = top.select("query_id", "c", answer.alias("a")).select("query_id", F.col("a.error").alias("rerank_error"), F.posexplode("c").alias("i", "x"), F.col("a.scores").alias("s"))
+    return each.select("query_id", F.col("x.chunk_id").alias("chunk_id"), F.get("s", F.col("i")).alias("raw_score"), "rerank_error")
+
+
+def rerank_requests(hits: DataFrame, fn: Callable[[str, list[str]], Sequence[float]], pool: int = 40, mode: str = "logit") -> DataFrame:
+    """``rerank`` by a scorer of whole requests; plus rerank_error, null where the request was answered."""
+    scored = hits.join(request_scores(hits, fn, pool), ["query_id", "chunk_id"], "left")
+    scored = scored.withColumn("rerank_error", F.max("rerank_error").over(Window.partitionBy("query_id")))
+    return rerank(scored, F.col("raw_score"), pool, mode).drop("raw_score")
+
+
 def one_child_per_parent(hits: DataFrame) -> DataFrame:
     """The best child of each parent; hits without a parent all stay."""
     n = F.row_number().over(Window.partitionBy("query_id", "parent_id").orderBy("pos"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,6 +178,22 @@ def rerank(spark: SparkSession, d: str) -> DataFrame:
     return H.rerank(ranked_hits(spark, d), logit, pool=10).select("query_id", "chunk_id", "reranked", "rerank_score", "pos")
 
 
+def shared_words(query: str, texts: list[str]) -> list[float]:
+    """A deterministic scorer: distinct words of the question that a text holds, less six; long questions are beyond it."""
+    asked = set(re.findall("[a-z]+", query.lower()))
+    if len(asked) > 35:
+        raise ValueError("question too long")
+    return [len(asked & set(re.findall("[a-z]+", t.lower()))) - 6.0 for t in texts]
+
+
+@query("E14_scorer", f"""WITH {CHAIN}, w AS (SELECT *, list_distinct(regexp_extract_all(lower(query), '[a-z]+')) AS a FROM rk),
+  r AS (SELECT *, len(a) <= 35 AS reranked, CASE WHEN len(a) <= 35 AND pos <= 10 THEN round(1 / (1 + exp(6.0 - len(list_intersect(a, regexp_extract_all(lower(text), '[a-z]+'))))), 6) END AS rerank_score FROM w)
+  SELECT query_id, chunk_id, reranked, rerank_score, (row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, pos))::INTEGER AS pos,
+    CASE WHEN NOT reranked THEN 'ValueError: question too long' END AS rerank_error FROM r""")
+def rerank_by_scorer(spark: SparkSession, d: str) -> DataFrame:
+    return H.rerank_requests(ranked_hits(spark, d), shared_words, pool=10).select("query_id", "chunk_id", "reranked", "rerank_score", "pos", "rerank_error")
+
+
 @query("E15", f"""WITH {CHAIN} SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY pos) AS n FROM rk) WHERE n = 1 OR parent_id IS NULL""")
 def one_child(spark: SparkSession, d: str) -> DataFrame:
     return H.one_child_per_parent(ranked_hits(spark, d)).select("query_id", "chunk_id")

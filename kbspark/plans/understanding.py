@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.operators import evidence as V
 from kbspark.operators import lexical as L
 from kbspark.operators import understanding as U
 from kbspark.plans.answers import _choose, _choose_sql
@@ -17,22 +18,35 @@ from kbspark.sources.shared import shared_folder
 from kbspark.streaming import limits as J
 from kbspark.streaming import stateful as S
 
-#: Questions around the first word of a document, by doc_id % 10.
-FORMS = ("你好", "{} 知识库里怎么写", "总结一下", "今天天气怎么样 {}", "{}是什么", "把上面的内容改写", "现在几点了", "{} 的参数是多少 配置", "{} text", "重新检索 {}")
-REASONS = ("direct_chat", "knowledge_retrieve", "default_retrieve", "live_unsupported", "knowledge_retrieve", "direct_chat", "live_unsupported", "knowledge_retrieve", "default_retrieve", "knowledge_retrieve")
-WITH_SOURCES = ("direct_chat", "force_retrieve", "followup_reuse", "live_unsupported", "knowledge_retrieve", "followup_reuse", "live_unsupported", "knowledge_retrieve", "default_retrieve", "force_retrieve")
+#: What users ask around a whole text: greetings, transformations, live and knowledge questions.
+FORMS = ("你好", "{} 知识库里怎么写", "总结一下", "今天天气怎么样 {}", "{}是什么", "把上面的内容改写", "现在几点了", "{} 的参数是多少 配置", "{}", "重新检索 {}", "他 {}", "{} 上述怎么解释")
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
-    k = (F.col("doc_id") % 10).cast("int")
-    text = F.replace(_choose(k, FORMS), F.lit("{}"), F.lit("widget"))
-    on = F.floor(F.col("doc_id") / 10) % 2 == 1
-    return table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), k.alias("k"), text.alias("query"), on.alias("has_history"), on.alias("has_sources"))
+    """Benchmark items and whole user turns in the forms above; turns but the first have a history, later ones sources."""
+    turns = table(spark, d, "conversations").where("role = 'user'")
+    q = table(spark, d, "benchmark").select(F.concat(F.lit("i"), "item_id").alias("query_id"), F.col("item_id").alias("n"), F.lit(0).alias("turn"), "text")
+    q = q.unionByName(turns.select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("query_id"), (F.col("conv_id") + F.col("turn")).alias("n"), "turn", "text"))
+    text = F.replace(_choose((F.col("n") % len(FORMS)).cast("int"), FORMS), F.lit("{}"), F.coalesce("text", F.lit("")))
+    return q.select("query_id", "n", text.alias("query"), (F.col("turn") > 0).alias("has_history"), (F.col("turn") > 2).alias("has_sources"))
 
 
-ASKED = f"asked AS (SELECT doc_id AS query_id, doc_id % 10 AS k, replace({_choose_sql('doc_id % 10', FORMS)}, '{{}}', 'widget') AS query, doc_id // 10 % 2 = 1 AS hist FROM documents)"
-ROUTE = f"""{ASKED}, rt AS (SELECT *, 'heuristic_' || CASE WHEN hist THEN {_choose_sql('k', WITH_SOURCES)} WHEN k = 5 THEN 'default_retrieve' ELSE {_choose_sql('k', REASONS)} END AS reason FROM asked),
-rd AS (SELECT *, CASE WHEN reason LIKE '%reuse' THEN 'REUSE' WHEN reason LIKE '%direct%' THEN 'DIRECT' WHEN reason LIKE '%live%' THEN 'LIVE_UNSUPPORTED' ELSE 'RETRIEVE' END AS route FROM rt)"""
+def _is(*patterns: str) -> str:
+    return "regexp_matches(q, '(?i)" + "|".join(f"(?:{p})" for p in patterns).replace("'", "''") + "')"
+
+
+_SAYS = f"(({_is(U.TRANSFORM)}) AND {_is(U.QUOTED)})"
+_RULES = f"""{_is(U.FORCE, U.SCOPE)} AS fresh, {_is(U.SHORT_REUSE)} OR ({_is(U.TRANSFORM)} AND {_is(U.CONTEXT, U.SOURCE)}) OR ({_is(U.CONTEXT, U.SOURCE)} AND {_is('解释|展开|继续|细说|详细|具体|举例|什么意思')}) AS reuse,
+  {_is(U.GREETING, U.META)} OR (hist AND {_is(U.TRANSFORM)} AND {_is(U.CONTEXT)}) OR {_SAYS} AS direct, {_is(U.TIME_QUERY)} OR ({_is(U.LIVE_DOMAIN)} AND {_is(U.LIVE_SIGNAL)} AND NOT {_SAYS}) AS live_,
+  {_is(U.ENTITY)} OR ({_is(U.CAPABILITY)} AND NOT {_is('^[你您我]')}) OR ({_is(U.FACT_END)} AND length(q) >= 4 AND NOT {_is('^[你您我]')} AND NOT {_is(U.OPINION)}) AS shape,
+  {_is(U.HINTS)} AND length(q) >= 6 AS hint, {_is(U.TECHNICAL)} AS technical, {_is(U.OPINION)} AS opinion, {_is(U.CROSS)} AS across,
+  hist AND q <> '' AND ({_is(U.SHORT_REUSE)} OR {_is(U.CONTEXT, U.SOURCE)} OR ({_is(U.ANAPHORA)} AND (length(q) <= 24 OR {_is(U.HINTS)})) OR ({_is(U.TRANSFORM)} AND NOT {_is(U.EXPLICIT_INPUT)} AND length(q) <= 18)) AS needs"""
+ROUTE = rf"""texts AS (SELECT 'i' || item_id AS query_id, item_id AS n, 0 AS turn, text FROM benchmark UNION ALL SELECT 'c-' || conv_id || '-' || turn, conv_id + turn, turn, text FROM conversations WHERE role = 'user'),
+asked AS (SELECT query_id, n, turn > 0 AS hist, turn > 2 AS src, trim(regexp_replace(replace({_choose_sql(f'n % {len(FORMS)}', FORMS)}, '{{}}', coalesce(text, '')), '\s+', ' ', 'g')) AS q FROM texts),
+rules AS (SELECT *, live_ AND NOT fresh AS live FROM (SELECT *, {_RULES} FROM asked)),
+rd AS (SELECT *, CASE WHEN reason LIKE '%reuse' THEN 'REUSE' WHEN reason LIKE '%direct%' THEN 'DIRECT' WHEN reason LIKE '%live%' THEN 'LIVE_UNSUPPORTED' ELSE 'RETRIEVE' END AS route FROM (
+  SELECT *, 'heuristic_' || CASE WHEN src AND fresh THEN 'force_retrieve' WHEN src AND reuse THEN 'followup_reuse' WHEN direct THEN 'direct_chat' WHEN live THEN 'live_unsupported'
+    WHEN fresh OR (NOT live AND (shape OR hint)) THEN 'knowledge_retrieve' ELSE 'default_retrieve' END AS reason FROM rules))"""
 
 
 @query("F1", f"WITH {ROUTE} SELECT query_id, route, reason FROM rd")
@@ -40,23 +54,65 @@ def route(spark: SparkSession, d: str) -> DataFrame:
     return U.route(asked(spark, d)).select("query_id", "route", "reason")
 
 
-@query("F2", f"""WITH {ROUTE}, g AS (SELECT query_id, k, CASE WHEN route = 'LIVE_UNSUPPORTED' THEN 'RETRIEVE' ELSE route END AS route, CASE WHEN route = 'LIVE_UNSUPPORTED' THEN 'llm_low_confidence_probe' ELSE reason END AS reason FROM rd)
-  SELECT query_id, route, CASE WHEN route = 'RETRIEVE' AND query_id % 7 = 0 THEN 'empty_store_no_evidence' ELSE reason END AS reason FROM g WHERE query_id % 7 <> 0 OR route <> 'RETRIEVE' OR TRUE""".replace("route = 'LIVE_UNSUPPORTED' THEN", "route = 'LIVE_UNSUPPORTED' AND query_id % 7 <> 0 THEN"))
+@query("F2", f"""WITH {ROUTE}, g AS (SELECT *, route = 'REUSE' AND q <> '' AND (NOT src OR fresh OR across OR NOT needs) AS stale,
+    route = 'DIRECT' AND q <> '' AND NOT direct AND NOT (opinion AND NOT needs) AND (fresh OR (NOT live AND (shape OR (hint AND technical)))) AS knows FROM rd),
+  h AS (SELECT query_id, n, CASE WHEN stale OR knows THEN 'RETRIEVE' ELSE route END AS r, CASE WHEN stale THEN 'reuse_guard_retrieve' WHEN knows THEN 'direct_guard_retrieve' ELSE reason END AS reason, route AS was FROM g),
+  p AS (SELECT *, was = 'LIVE_UNSUPPORTED' AND r <> 'RETRIEVE' AND n % 7 <> 0 AS probe FROM h)
+  SELECT query_id, CASE WHEN probe THEN 'RETRIEVE' ELSE r END AS route, CASE WHEN n % 7 = 0 AND r = 'RETRIEVE' THEN 'empty_store_no_evidence' WHEN probe THEN 'llm_low_confidence_probe' ELSE reason END AS reason FROM p""")
 def guards(spark: SparkSession, d: str) -> DataFrame:
     r = U.route(asked(spark, d)).withColumn("confidence", F.when(F.col("route") == "LIVE_UNSUPPORTED", "low").otherwise("high"))
-    return U.guard_routes(r, F.col("query_id") % 7 != 0).select("query_id", "route", "reason")
+    return U.guard_routes(r, F.col("n") % 7 != 0).select("query_id", "route", "reason")
 
 
-@query("F3", f"WITH {ASKED} SELECT query_id, hist AND k IN (2, 5) AS needs_history FROM asked")
+@query("F3", f"WITH {ROUTE} SELECT query_id, needs OR (hist AND q <> '' AND reuse) AS needs_history FROM rules")
 def history_flag(spark: SparkSession, d: str) -> DataFrame:
-    return asked(spark, d).select("query_id", U.needs_history(F.col("query"), F.col("has_history")).alias("needs_history"))
+    q = asked(spark, d)
+    return q.select("query_id", U.needs_history(T.collapse(F.col("query")), F.col("has_history")).alias("needs_history"))
+
+
+def _terms(words) -> str:
+    return "/".join(words)
+
+
+#: Questions around two words of a text: (form, kind, entities, aspects, groups, claims, expansion).
+ASKS = (
+    ("{a} 是什么", "definition", "{a}", "", _terms(V.DEFINITION_TERMS), "", "{a} " + U.DEFINITION_INTENT),
+    ("{a} 是什么平台", "type", "{a}", "", _terms(V.TYPE_TERMS["平台"]), "", "{a} " + U.DEFINITION_INTENT),
+    ("{a} 和 {b} 的区别", "relation", "{a},{b}", "", "", "", ""),
+    ("{a} 的价格是多少", "numeric", "{a}", "", _terms(V.NUMERIC_TERMS["价格"]), "", ""),
+    ("{a} 的 cpm 门槛", "numeric", "{a}", "cpm", _terms(V.NUMERIC_TERMS["门槛"]), "", ""),
+    ("{a} 位于哪里？", "binding", "{a}", "", _terms(V.LOCATION_TERMS), "", ""),
+    ("{a} 支持 {b}", "binding", "{a},支持,{b}", "", "", "", ""),
+    ("{a} 会写 {b} 吗", "ability", "{a}", "", "", "写 {b}", "{a} " + U.ABILITY_INTENT),
+    ("{a} 都会什么", "ability", "{a}", "", _terms(V.ABILITY_TERMS), "", "{a} " + U.ABILITY_INTENT),
+    ("是否包含 {a} 批量私信和自动建联吗", "negative_scope", "{a}", "", "批量私信/批量/私信,自动建联/自动/建联", "", "是否包含 {a} 批量私信和自动建联吗 范围 边界 不包含 不做"),
+    ("总结一下文档 {a}", "collection_overview", "", "", "", "", ""),
+    ("{b} 的核心用户 {a}", "factual", "{b},核心用户,{a}", "", "", "", "{b} 的核心用户 {a} 目标用户"),
+)
+
+
+def worded(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, k, query): the questions above around the first two different long words of every benchmark item and document."""
+    texts = questions(spark, d).select(F.concat(F.lit("i"), "query_id").alias("query_id"), F.col("query_id").alias("n"), F.col("query").alias("text"))
+    texts = texts.unionByName(table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("query_id"), F.col("doc_id").alias("n"), "text"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0)))
+    w = texts.withColumn("w", words).where(F.size("w") >= 2).withColumn("k", (F.col("n") % len(ASKS)).cast("int"))
+    form = _choose(F.col("k"), tuple(x[0] for x in ASKS))
+    return w.select("query_id", "k", F.replace(F.replace(form, F.lit("{a}"), F.col("w")[0]), F.lit("{b}"), F.col("w")[1]).alias("query"))
+
 
+def _filled(i: int) -> str:
+    return f"replace(replace({_choose_sql('k', tuple(x[i] for x in ASKS))}, '{{a}}', l[1]), '{{b}}', l[2])"
 
-@query("F4", """SELECT doc_id AS query_id, 0 AS pos, CASE doc_id % 3 WHEN 0 THEN 'widget的核心用户' WHEN 1 THEN '是否包含批量私信吗' ELSE 'widget text' END AS subquery FROM documents
-  UNION ALL SELECT doc_id, 1, CASE doc_id % 3 WHEN 0 THEN 'widget的核心用户 目标用户' ELSE '是否包含批量私信吗 范围 边界 不包含 不做' END FROM documents WHERE doc_id % 3 < 2""")
+
+WORDED = f"""texts AS (SELECT 'i' || item_id AS query_id, item_id AS n, text FROM benchmark UNION ALL SELECT 'd' || doc_id, doc_id, text FROM documents),
+words AS (SELECT query_id, n % {len(ASKS)} AS k, list(w ORDER BY i) AS l FROM (SELECT query_id, n, w, min(i) AS i FROM (SELECT query_id, n, unnest(m) AS w, unnest(range(len(m))) AS i
+  FROM (SELECT query_id, n, regexp_extract_all(lower(text), '[a-z]{{5,}}') AS m FROM texts)) GROUP BY ALL) GROUP BY query_id, n HAVING count(*) >= 2)"""
+
+
+@query("F4", f"""WITH {WORDED} SELECT query_id, 0 AS pos, {_filled(0)} AS subquery FROM words UNION ALL SELECT query_id, 1, {_filled(6)} FROM words WHERE {_choose_sql('k', tuple(x[6] for x in ASKS))} <> ''""")
 def expansions(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), _choose(F.col("doc_id") % 3, ("widget的核心用户", "是否包含批量私信吗", "widget text")).alias("query"))
-    return U.expand_queries(q)
+    return U.expand_queries(worded(spark, d))
 
 
 @query("F5", """SELECT doc_id AS query_id, CASE WHEN doc_id % 2 = 0 THEN lang || ',' || source ELSE lang || ',x,' || source END AS rewrites FROM documents""")
@@ -67,9 +123,11 @@ def rewrites(spark: SparkSession, d: str) -> DataFrame:
     return U.clean_rewrites(q, 2).select("query_id", F.array_join("rewrites", ",").alias("rewrites"))
 
 
-@query("F6")
+@query("F6", f"WITH {WORDED} SELECT query_id, {_choose_sql('k', tuple(x[1] for x in ASKS))} AS kind, {_filled(2)} AS entities, {_filled(3)} AS aspects, {_filled(4)} AS groups, {_filled(5)} AS claims FROM words")
 def requirements(spark: SparkSession, d: str) -> DataFrame:
-    return U.requirement(asked(spark, d)).select("query_id", "requirement.kind", F.array_join("requirement.entities", ",").alias("entities"), F.array_join("requirement.facets", ",").alias("facets"))
+    joined = lambda c: F.array_join(f"requirement.{c}", ",").alias(c)
+    groups = F.array_join(F.transform("requirement.groups", lambda g: F.array_join(g, "/")), ",").alias("groups")
+    return V.requirement(worded(spark, d)).select("query_id", "requirement.kind", joined("entities"), joined("aspects"), groups, joined("claims"))
 
 
 def gate_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +135,7 @@ def gate_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("[a-z]{5,}"), F.lit(0))), 1, 3)
     none = F.array().cast("array<string>")
     kind = F.when(F.col("query_id") % 2 == 0, "factual").otherwise("binding")
-    req = q.select("query_id", F.struct(kind.alias("kind"), words.alias("entities"), none.alias("facets"), F.array().cast("array<array<string>>").alias("groups")).alias("requirement"))
+    req = q.select("query_id", F.struct(kind.alias("kind"), words.alias("entities"), none.alias("aspects"), F.array().cast("array<array<string>>").alias("groups"), none.alias("claims")).alias("requirement"))
     req = req.where(F.size("requirement.entities") > 0)
     top = L.lexical_topk(bm25_hits(spark, d), 5).select("query_id", "chunk_id")
     return req, top.join(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
@@ -93,13 +151,28 @@ sf AS (SELECT query_id, CASE WHEN query_id % 2 = 1 THEN bool_or(whole) ELSE coal
 
 @query("F7", f"WITH {GATE} SELECT query_id, sufficient FROM sf")
 def gate(spark: SparkSession, d: str) -> DataFrame:
-    return U.evidence_gate(*gate_input(spark, d))
+    return V.evidence_gate(*gate_input(spark, d))
 
 
-@query("F8", f"WITH {GATE} SELECT DISTINCT query_id, chunk_id FROM hw JOIN sf USING (query_id) WHERE sufficient AND ok")
+@query("F8", f"""WITH {GATE}, hn AS (SELECT query_id, chunk_id, n, count(*) FILTER (ok) AS m FROM hw GROUP BY ALL)
+  SELECT query_id, chunk_id FROM hn WHERE CASE WHEN query_id % 2 = 1 THEN m = n ELSE n = 1 OR m >= greatest(2, ceil(n / 2)) END""")
 def supported(spark: SparkSession, d: str) -> DataFrame:
     req, hits = gate_input(spark, d)
-    return U.filter_evidence(hits, req, U.evidence_gate(req, hits).where("sufficient")).select("query_id", "chunk_id")
+    return V.filter_evidence(hits, req).select("query_id", "chunk_id")
+
+
+@query("F8_supplement", f"""WITH {GATE}, hn AS (SELECT query_id, chunk_id, n, count(*) FILTER (ok) AS m FROM hw GROUP BY ALL), c AS (SELECT *, n >= 2 AND m = n AS core, bool_or(n >= 2 AND m = n) OVER (PARTITION BY query_id) AS has FROM hn)
+  SELECT query_id, chunk_id, core FROM c WHERE core OR (has AND m > 0)""")
+def supplemented(spark: SparkSession, d: str) -> DataFrame:
+    req, hits = gate_input(spark, d)
+    req = req.withColumn("requirement", F.col("requirement").withField("kind", F.lit("relation")))
+    return V.supplement(hits, req, V.filter_evidence(hits, req)).select("query_id", "chunk_id", "core")
+
+
+@query("F8_weak", f"WITH {GATE} SELECT DISTINCT query_id, chunk_id FROM hw WHERE ok")
+def weak(spark: SparkSession, d: str) -> DataFrame:
+    req, hits = gate_input(spark, d)
+    return V.weak_context(hits, req).select("query_id", "chunk_id")
 
 
 _STATUS = ("grounded", "partial", "missing", "boundary", "conflict", "unavailable")
