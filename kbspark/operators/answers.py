@@ -162,6 +162,88 @@ def parse_verdicts(raw: DataFrame) -> DataFrame:
 CLAIM_KINDS = {"paraphrase": "fact", "calculation": "derived", "inference": "derived", "unknown": "boundary", "undisclosed": "boundary"}
 
 
+#: Other names of a controller's actions and directions, and replies of a single word (fixed values).
+ACTIONS = {
+    "supported": "answer", "sufficient": "answer", "answer_boundary": "boundary", "explicit_boundary": "boundary", "known_unknown": "boundary", "insufficient": "abstain", "unsupported": "abstain",
+    "conflicting": "conflict", "context": "expand", "expand_context": "expand",
+}
+KNOWN_ACTIONS = ("answer", "boundary", "expand", "retry", "partial", "conflict", "abstain")
+DIRECTIONS = {"previous": "before", "next": "after", "around": "both", "前": "before", "后": "after", "前后": "both"}
+LABELS = {
+    "answer": ("answer", "supported", "可回答", "证据充分"), "boundary": ("boundary", "explicitboundary", "明确边界", "明确未披露"), "abstain": ("abstain", "insufficient", "unsupported", "无法回答", "证据不足"),
+    "conflict": ("conflict", "conflicting", "冲突", "证据冲突"), "expand": ("expand", "context", "补上下文", "扩展上下文"),
+}
+CONTROL = "action string, supported_indices string, conflicting_indices string, missing_facets string, retry_query string, expand_indices string, expand_direction string, reason_code string, claims string"
+
+
+def _numbers(json: Column, n: Column) -> Column:
+    """Whole numbers from 1 to ``n`` of a JSON number, string or list of them, unique in order; all else, as true or 1.5, goes."""
+    items = F.when(F.trim(json).startswith("["), F.from_json(json, "array<string>")).otherwise(F.array(json))
+    whole = F.transform(F.filter(items, lambda x: x.rlike(r"^\s*\d{1,9}\s*$")), lambda x: F.trim(x).cast("int"))
+    return F.coalesce(F.array_distinct(F.filter(whole, lambda x: (x >= 1) & (x <= n))), F.array().cast("array<int>"))
+
+
+def parse_controls(raw: DataFrame, allow_retry: bool = True, allow_expand: bool = False) -> DataFrame:
+    """(case_id, raw, n) -> case_id, action, supported, conflicting, missing, retry_query, expand, direction, reason, of replies in JSON or of one word.
+
+    Fails closed: what is no JSON object, no known action, or lacks what its action needs (a source to answer by, two for a conflict, a query to retry
+    with, passages to expand) is ``unavailable``.  Sources that are not listed come from the claims.  A retry or expansion that is not allowed any
+    more is ``partial`` if it has both sources and missing aspects, else ``abstain``.  Aspects: the first six, 120 characters each.
+    """
+    text = F.trim(F.coalesce("raw", F.lit("")))
+    obj = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    r = raw.select("case_id", "n", obj.alias("obj"), F.lower(F.regexp_replace(text, r"[`*_#\s。.！!]+", "")).alias("word"), F.from_json(obj, CONTROL + ", broken string", {"columnNameOfCorruptRecord": "broken"}).alias("p"))
+    n, none = F.col("n"), F.array().cast("array<int>")
+    clean = lambda c: F.trim(F.coalesce(F.col(f"p.{c}"), F.lit("")))
+    looked = lambda c, table: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), c)
+    claims = F.from_json("p.claims", "array<struct<statement:string,claim:string,kind:string,source_indices:string>>")
+    listed = F.when(F.trim("p.missing_facets").startswith("["), F.slice(F.from_json("p.missing_facets", "array<string>"), 1, 6))
+    missing = F.array_distinct(F.filter(F.transform(listed, lambda x: F.substring(F.trim(x), 1, 120)), lambda x: x != ""))
+    r = r.withColumns({
+        "a": looked(F.lower(clean("action")), ACTIONS), "claims": F.slice(F.coalesce(claims, F.array().cast("array<struct<statement:string,claim:string,kind:string,source_indices:string>>")), 1, 8),
+        "m": F.coalesce(missing, F.array().cast("array<string>")), "q": F.substring(clean("retry_query"), 1, 1000), "e": _numbers(F.col("p.expand_indices"), n),
+        "d": looked(F.lower(F.coalesce(F.nullif(clean("expand_direction"), F.lit("")), F.lit("both"))), DIRECTIONS), "code": F.substring(clean("reason_code"), 1, 80),
+        "s": _numbers(F.col("p.supported_indices"), n), "c": _numbers(F.col("p.conflicting_indices"), n),
+    })
+    kind = lambda x: looked(F.lower(F.trim(F.coalesce(F.nullif(x.kind, F.lit("")), F.lit("fact")))), CLAIM_KINDS)
+    said = lambda x: (F.trim(F.coalesce(F.nullif(x.statement, F.lit("")), x.claim, F.lit(""))) != "") & kind(x).isin("fact", "derived", "boundary", "conflict")
+    of = lambda conflict: F.array_distinct(F.flatten(F.transform(F.filter("claims", lambda x: said(x) & ((kind(x) == "conflict") == F.lit(conflict))), lambda x: _numbers(x.source_indices, n))))
+    r = r.withColumns({"s": F.when(F.size("s") > 0, F.col("s")).otherwise(of(False)), "c": F.when(F.size("c") > 0, F.col("c")).otherwise(of(True))})
+
+    a, word, enough = F.col("a"), F.col("word"), (F.size("s") > 0) & (F.size("m") > 0)
+    spent = lambda act: F.when(enough, F.struct(F.lit("partial").alias("action"), F.lit(f"evidence_{act}_exhausted_partial").alias("reason"))).otherwise(
+        F.struct(F.lit("abstain").alias("action"), F.lit(f"evidence_{act}_exhausted").alias("reason"))
+    )
+    end = lambda action, reason: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
+    bad = lambda reason: end("unavailable", f"evidence_controller_{reason}")
+    is_ = lambda label: word.isin(*LABELS[label])
+    bare = (
+        F.when(is_("answer") & (n > 0), end("answer", "evidence_answer_bare_label")).when(is_("boundary") & (n == 1), end("boundary", "evidence_boundary_bare_label"))
+        .when(is_("boundary"), end("unavailable", "evidence_boundary_bare_label_missing_support")).when(is_("abstain"), end("abstain", "evidence_abstain_bare_label"))
+        .when(is_("conflict") & (n >= 2), end("conflict", "evidence_conflict_bare_label"))
+        .when(is_("expand") & (n > 0), end("expand", "evidence_expand_bare_label") if allow_expand else end("abstain", "evidence_expand_exhausted")).otherwise(bad("invalid_json"))
+    )
+    plain = F.struct(a.alias("action"), F.coalesce(F.nullif("code", F.lit("")), F.concat(F.lit("evidence_"), a)).alias("reason"))
+    retry = F.when(F.col("q") == "", bad("missing_retry_query")).otherwise(plain) if allow_retry else spent("retry")
+    expand = F.when(F.size("e") == 0, bad("missing_expand_indices")).otherwise(plain) if allow_expand else spent("expand")
+    read = (
+        F.when(F.col("p.broken").isNotNull() | F.col("p").isNull(), bad("invalid_json")).when(~a.isin(*KNOWN_ACTIONS), bad("invalid_action"))
+        .when(a.isin("answer", "boundary") & (F.size("s") == 0), bad("missing_support")).when((a == "partial") & ~enough, bad("invalid_partial"))
+        .when((a == "conflict") & (F.size(F.array_union("s", "c")) < 2), bad("invalid_conflict")).when(a == "retry", retry).when(a == "expand", expand).otherwise(plain)
+    )
+    r = r.withColumn("out", F.when(F.col("obj") == "", bare).otherwise(read)).withColumn("all", F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(none))
+    act, label, spent_ = F.col("out.action"), F.col("obj") == "", F.col("out.reason").contains("_exhausted")
+    dead = act == "unavailable"
+    keep = lambda c, empty, when=True: F.when(dead | label | (spent_ & F.lit(not when)), empty).otherwise(F.col(c))
+    supported = F.when(label & act.isin("answer", "boundary"), F.col("all")).otherwise(F.when(spent_ & (act == "abstain"), none).otherwise(keep("s", none)))
+    return r.select(
+        "case_id", act.alias("action"), supported.alias("supported"), F.when(label & (act == "conflict"), F.col("all")).otherwise(keep("c", none, False)).alias("conflicting"),
+        keep("m", F.array().cast("array<string>")).alias("missing"), keep("q", F.lit(""), False).alias("retry_query"),
+        F.when(label & (act == "expand"), F.col("all")).otherwise(keep("e", none, False)).alias("expand"),
+        F.when(F.col("d").isin("before", "after", "both") & ~(dead | label | spent_), F.col("d")).otherwise("both").alias("direction"), F.col("out.reason").alias("reason"),
+    )
+
+
 def parse_claims(raw: DataFrame) -> DataFrame:
     """(case_id, raw JSON list, n) -> case_id, pos, statement, kind, sources, expression.
 

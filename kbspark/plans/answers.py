@@ -11,7 +11,7 @@ from kbspark.operators import lexical as L
 from kbspark.plans.base import BM25, corpus, query, questions, table
 from kbspark.plans.documents import bm25_hits
 
-#: What is put behind the first 60 characters of an assistant's turn, by (conv_id + turn) % 6.
+#: What is put behind an assistant's whole turn, by (conv_id + turn) % 6.
 TAILS = (" [1]", " [1、2] [0] [7, 2]", "", " 1/3=0.34 and 2*3=6 and 5/0=1 [2,3]", "\n\n（注：修正如下）资料未提及", " 很可能 候选片段 [9]")
 
 
@@ -27,16 +27,18 @@ def _choose_sql(n: str, values: tuple[str, ...]) -> str:
 def answers(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").where("role = 'assistant'")
     k = (F.col("conv_id") + F.col("turn")) % 6
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), k.alias("k"), F.left("text", F.lit(60)).alias("b"), F.concat(F.left("text", F.lit(60)), _choose(k, TAILS)).alias("answer"))
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), k.alias("k"), F.col("text").alias("b"), F.concat("text", _choose(k, TAILS)).alias("answer"))
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
     return answers(spark, d).select("answer_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("idx"))
 
 
-ANS = f"""ans AS (SELECT conv_id * 100 + turn AS answer_id, (conv_id + turn) % 6 AS k, left(text, 60) AS b, left(text, 60) || {_choose_sql('(conv_id + turn) % 6', TAILS)} AS answer
+ANS = rf"""ans AS (SELECT conv_id * 100 + turn AS answer_id, (conv_id + turn) % 6 AS k, text AS b, text || {_choose_sql('(conv_id + turn) % 6', TAILS)} AS answer
   FROM conversations WHERE role = 'assistant'),
-cit AS (SELECT answer_id, unnest(range(len(l)))::INTEGER AS pos, unnest(l)::INTEGER AS idx FROM (SELECT answer_id, CASE k WHEN 0 THEN [1] WHEN 1 THEN [1, 2, 7] WHEN 3 THEN [2, 3] WHEN 5 THEN [9] ELSE []::INTEGER[] END AS l FROM ans))"""
+num AS (SELECT answer_id, unnest(l)::INTEGER AS idx, unnest(range(len(l))) AS i FROM (SELECT answer_id, list_filter(flatten(list_transform(
+    regexp_extract_all(answer, '\[(\d+\s*([,，、]\s*\d+\s*)*)\]', 1), lambda x: regexp_extract_all(x, '\d+'))), lambda x: x::INTEGER > 0) AS l FROM ans)),
+cit AS (SELECT answer_id, (row_number() OVER (PARTITION BY answer_id ORDER BY min(i)) - 1)::INTEGER AS pos, idx FROM num GROUP BY answer_id, idx)"""
 
 
 @query("G1", f"WITH {ANS} SELECT * FROM cit")
@@ -59,7 +61,11 @@ def uncited(spark: SparkSession, d: str) -> DataFrame:
     return A.uncited_paragraphs(answers(spark, d))
 
 
-@query("G4", f"""WITH {ANS} SELECT answer_id, FALSE AS empty_answer, k = 4 AS has_internal_notes, k = 5 AS leaks_internal_context, k = 5 AS infers_from_incomplete_context FROM ans""")
+def _said(patterns: tuple[str, ...]) -> str:
+    return "regexp_matches(trim(answer), '(?i)" + "|".join(f"(?:{p})" for p in patterns).replace("'", "''") + "')"
+
+
+@query("G4", f"""WITH {ANS} SELECT answer_id, trim(answer) = '' AS empty_answer, {_said(A.INTERNAL_NOTES)} AS has_internal_notes, {_said(A.LEAKS)} AS leaks_internal_context, {_said(A.INFERENCES)} AS infers_from_incomplete_context FROM ans""")
 def flags(spark: SparkSession, d: str) -> DataFrame:
     return A.leak_flags(answers(spark, d))
 
@@ -98,29 +104,56 @@ def contract(spark: SparkSession, d: str) -> DataFrame:
 
 
 VERDICTS = (
-    'sure: {"verdict": "Supported", "supported_indices": [1, 9, 2, 1]}', '{"verdict":"supported","supported_indices":[]}', "no json",
-    '{"verdict":"insufficient"}', '{"verdict":"maybe","supported_indices":[1]}', '{"verdict":"contradicted","supported_indices":[0, 3, true, "x"]}',
+    'sure: {"verdict": "Supported", "why": "%", "supported_indices": [1, 9, 2, 1]}', '{"verdict":"supported","supported_indices":[],"why":"%"}', "no json: %",
+    '{"why":"%","verdict":"insufficient"}', '% {"verdict":"maybe","supported_indices":[1]}', '% {"verdict":"contradicted","supported_indices":[0, 3, true, "x"]} %',
 )
 
 
+def _around(k: Column, forms: tuple[str, ...], text: Column) -> Column:
+    """The form of ``k`` with a whole text, as it stands within JSON, in place of %."""
+    inside = F.regexp_replace(F.regexp_replace(F.to_json(F.struct(text.alias("t"))), r'^\{"t":"', ""), r'"\}$', "")
+    return F.replace(_choose(k, forms), F.lit("%"), inside)
+
+
 @query("G10", f"""WITH {ANS} SELECT answer_id AS case_id, {_choose_sql('k', ("supported", "unavailable", "unavailable", "insufficient", "unavailable", "contradicted"))} AS status,
   {_choose_sql('k', ("1,2", "", "", "", "", "3"))} AS indices FROM ans""")
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    raw = answers(spark, d).select(F.col("answer_id").alias("case_id"), _choose(F.col("k"), VERDICTS).alias("raw"), F.lit(3).alias("n"))
+    raw = answers(spark, d).select(F.col("answer_id").alias("case_id"), _around(F.col("k"), VERDICTS, F.col("b")).alias("raw"), F.lit(3).alias("n"))
     return A.parse_verdicts(raw).withColumn("indices", F.array_join(F.transform("indices", lambda x: x.cast("string")), ","))
 
 
+#: (reply, action, supported, conflicting, missing, retry_query, expand, direction, reason), with retries allowed and expansion not.
+CONTROLS = (
+    ('{"action":"Sufficient","supported_indices":[1,2,9],"missing_facets":[" %"," %",""],"reason_code":"r1"}', "answer", "1,2", "", "M", "", "", "both", "r1"),
+    ("**Supported**。", "answer", "1,2,3", "", "", "", "", "both", "evidence_answer_bare_label"),
+    ('%{"action":"retry","retry_query":"%"}', "retry", "", "", "", "Q", "", "both", "evidence_retry"),
+    ('{"action":"context","supported_indices":"2","missing_facets":["%"],"expand_indices":[1],"expand_direction":"前"}', "partial", "2", "", "M", "", "", "both", "evidence_expand_exhausted_partial"),
+    ('{"action":"conflict","claims":[{"statement":"%","source_indices":[1]},{"claim":"%","kind":"conflict","source_indices":["3"]}]}', "conflict", "1", "3", "", "", "", "both", "evidence_conflict"),
+    ("% supported", "unavailable", "", "", "", "", "", "both", "evidence_controller_invalid_json"),
+)
+
+
+@query("G10_control", f"""WITH {ANS}, c AS (SELECT answer_id AS case_id, k, {", ".join(f"{_choose_sql('k', tuple(x[i] for x in CONTROLS))} AS {n}"
+  for i, n in enumerate(("action", "supported", "conflicting", "m", "q", "expand", "direction", "reason"), 1))}, b FROM ans)
+  SELECT case_id, action, supported, conflicting, CASE WHEN m = 'M' THEN left(trim(b), 120) ELSE '' END AS missing, CASE WHEN q = 'Q' THEN left(trim(b), 1000) ELSE '' END AS retry_query, expand, direction, reason FROM c""")
+def controls(spark: SparkSession, d: str) -> DataFrame:
+    raw = answers(spark, d).select(F.col("answer_id").alias("case_id"), _around(F.col("k"), tuple(x[0] for x in CONTROLS), F.col("b")).alias("raw"), F.lit(3).alias("n"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    out = A.parse_controls(raw, allow_retry=True, allow_expand=False)
+    return out.select("case_id", "action", joined("supported"), joined("conflicting"), joined("missing"), "retry_query", joined("expand"), "direction", "reason")
+
+
 CLAIMS = (
-    '[{"statement":" a ","kind":"paraphrase","source_indices":[1,2,9]},{"claim":"b","source_indices":"2"}]', "[]", "not json",
-    '[{"statement":"","source_indices":[1]},{"statement":"c","kind":"odd","source_indices":[1]}]', '[{"statement":"d","kind":"Unknown","source_indices":["3"]}]',
-    '[{"statement":"e","kind":"calculation","source_indices":[1],"expression":"1+1"}]',
+    '[{"statement":" %","kind":"paraphrase","source_indices":[1,2,9]},{"claim":"b","source_indices":"2"}]', "[]", "not json: %",
+    '[{"statement":"","source_indices":[1]},{"statement":"%","kind":"odd","source_indices":[1]}]', '[{"statement":"%","kind":"Unknown","source_indices":["3"]}]',
+    '[{"statement":"e","kind":"calculation","source_indices":[1],"expression":"%"}]',
 )
 
 
-@query("G11", f"""WITH {ANS} SELECT answer_id AS case_id, x.pos::INTEGER AS pos, x.statement, x.kind, x.sources, x.expression FROM ans JOIN (VALUES (0, 0, 'a', 'fact', '1,2', ''), (0, 1, 'b', 'fact', '2', ''),
-  (4, 0, 'd', 'boundary', '3', ''), (5, 0, 'e', 'derived', '1', '1+1')) x(k, pos, statement, kind, sources, expression) USING (k)""")
+@query("G11", f"""WITH {ANS} SELECT answer_id AS case_id, x.pos::INTEGER AS pos, coalesce(x.statement, left(trim(b), 240)) AS statement, x.kind, x.sources, coalesce(x.expression, left(trim(b), 120)) AS expression
+  FROM ans JOIN (VALUES (0, 0, NULL, 'fact', '1,2', ''), (0, 1, 'b', 'fact', '2', ''), (4, 0, NULL, 'boundary', '3', ''), (5, 0, 'e', 'derived', '1', NULL)) x(k, pos, statement, kind, sources, expression) USING (k)""")
 def claims(spark: SparkSession, d: str) -> DataFrame:
-    raw = answers(spark, d).select(F.col("answer_id").alias("case_id"), _choose(F.col("k"), CLAIMS).alias("raw"), F.lit(3).alias("n"))
+    raw = answers(spark, d).select(F.col("answer_id").alias("case_id"), _around(F.col("k"), CLAIMS, F.col("b")).alias("raw"), F.lit(3).alias("n"))
     return A.parse_claims(raw).withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
 
 
