@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -214,42 +214,46 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     their ids.  Other columns are ignored.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(vocabulary)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [own.encode(t) for t in pdf["text_"]]})
+        for batch in batches:
+            yield pa.array([own.encode(t.as_py()) for t in batch], pa.binary())
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text_"))
-    return rows.mapInPandas(run, "doc_id long, ids binary")
+    ids = F.arrow_udf(run, "binary")(text_of(text_col))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), ids.alias("ids"))
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, text of rows (doc_id, ids); bytes that are no UTF-8 become the replacement character."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = encoder(vocabulary).v
-        for pdf in batches:
-            texts = [v.decode(np.frombuffer(b or b"", "<u4")).decode("utf-8", "replace") for b in pdf["ids"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": texts})
+        for batch in batches:
+            yield pa.array([v.decode(np.frombuffer(b.as_py() or b"", "<u4")).decode("utf-8", "replace") for b in batch], pa.string())
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", F.arrow_udf(run, "string")("ids").alias("text"))
 
 
 def round_trip_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded, and decoded from its ids, in one pass."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded, and decoded from its ids, in one pass.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Null texts count as empty; null and repeated ids pass through (only texts go to Python); other columns are ignored; an empty table
+    gives an empty result.
+    """
+    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(vocabulary)
         decimal = np.array([str(i) + "," for i in range(len(own.v.bytes_of))], dtype=object)
-        for pdf in batches:
+        for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for t in pdf["text_"]:
-                ids = np.frombuffer(own.encode(t), "<u4")
+            for t in batch:
+                ids = np.frombuffer(own.encode(t.as_py()), "<u4")
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256("".join(decimal[ids].tolist())[:-1].encode()).hexdigest())
                 text = own.v.decode(ids).decode("utf-8", "replace")
                 text_sha.append(hashlib.sha256(text.encode()).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [f.name for f in kind])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text_"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    r = F.arrow_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")(text_of("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), r.alias("r")).select("doc_id", "r.*")

@@ -277,6 +277,15 @@ def test_bpe_digests_and_round_trip(spark):
         assert out[i].decoded_sha256 == hashlib.sha256(LIBRARY.decode(ids, skip_special_tokens=False).encode()).hexdigest() and back[i] == (t or "")
 
 
+def test_bpe_keeps_ids_beside_null_ones_and_takes_empty_tables(spark):
+    rows = spark.createDataFrame([(None, "a b"), (2**53 + 1, "a b"), (2**53 + 1, "a b"), (None, None)], DOCS).coalesce(1)
+    got = bpe.round_trip_digest(rows, BYTE_BPE).collect()
+    assert [(r.doc_id, r.n_tokens) for r in got] == [(None, 2), (2**53 + 1, 2), (2**53 + 1, 2), (None, 0)]
+    decoded = bpe.decode_documents(bpe.encode_documents(rows, BYTE_BPE), BYTE_BPE).collect()
+    assert [tuple(r) for r in decoded] == [(None, "a b"), (2**53 + 1, "a b"), (2**53 + 1, "a b"), (None, "")]
+    assert bpe.round_trip_digest(docs(spark, []), BYTE_BPE).count() == 0 and bpe.decode_documents(bpe.encode_documents(docs(spark, []), BYTE_BPE), BYTE_BPE).count() == 0
+
+
 # --- 6 near-dedup
 
 def brute(texts, size, threshold):
