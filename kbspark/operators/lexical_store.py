@@ -202,6 +202,21 @@ class LexicalStore:
         part = F.col("w") * frequency_part(F.col("tf"), F.col("dl"), s.avgdl)
         return hit.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("bm25_score"))
 
+    def holders(self, queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
+        """(query_id, chunk_id) of all chunks that hold the rarest token of a query; every chunk that holds the whole query is among them.
+
+        The first and the last token don't count, as a longer word of the chunk may hold them; a query without others has the rarest of all.
+        """
+        s = self.state()
+        words = tokens(F.coalesce(text, F.lit("")))
+        inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+        wanted = lambda a: F.filter(a, lambda t: ~t.isin(STOP_WORDS))
+        each = queries.select(F.col(key).alias("query_id"), F.explode(F.when(F.size(wanted(inner)) > 0, wanted(inner)).otherwise(wanted(words))).alias("token"))
+        rare = each.join(self.terms(s).select("token", "df"), "token", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("r"))
+        rare = rare.select("query_id", F.col("r.token").alias("token")).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(s.buckets)).cast("int"))
+        hit = rare.join(self._read("blocks", s).select("version", "token", "bucket", "postings"), ["bucket", "token"])
+        return self._live(hit.select("query_id", "version", F.explode("postings.chunk_id").alias("chunk_id")), s).select("query_id", "chunk_id")
+
     def top_k(self, queries: DataFrame, k: int, key: str = "query_id", text: str = "query", counted: dict | None = None) -> DataFrame:
         """The ``k`` best chunks of each query by score, then chunk id, with their rank: the rows of ``lexical_topk(search(queries), k)``.
 

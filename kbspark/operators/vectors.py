@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,20 +59,68 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     raise ValueError(f"metric must be one of {METRICS}")
 
 
+def _packed(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """(dim, ids, m): vectors of one dimension as matrices of up to ``block`` rows in the order of their ids, packed where they lie.
+
+    Null vectors and those holding nulls or NaN take no part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column(0)))
+            ids, vectors = batch.column(0), batch.column(1)
+            sizes = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes[sizes >= 0]):
+                at = np.flatnonzero(sizes == dim)
+                m = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+                good = ~np.isnan(m).any(axis=1)
+                at, m = at[good], m[good]
+                for i in range(0, len(at), block):
+                    part = ids.take(pa.array(at[i : i + block]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([dim], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.array([m[i : i + block].tobytes()], pa.binary())], ["dim", "ids", "m"]
+                    )
+
+    kind = dict(rows.dtypes)[key]
+    return rows.select(key, vector).mapInArrow(run, f"dim int, ids array<{kind}>, m binary")
+
+
+def _nearest(metric: str, k: int) -> Column:
+    """array<struct<q, c, d>>: for each row of matrix ``qm`` the ``k`` rows of ``m`` at the smallest distances to six digits, earlier rows first."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("q", pa.int32()), ("c", pa.int32()), ("d", pa.float64())]))
+        for dims, left, right in batches:
+            out = []
+            for dim, x, y in zip(dims.to_pylist(), left, right, strict=True):
+                q, c = (np.frombuffer(z.as_buffer(), np.float64).reshape(-1, dim) if dim else np.zeros((1, 0)) for z in (x, y))
+                d = 1 - q @ c.T if metric == "ip" else q @ c.T
+                if metric == "cosine":
+                    norms = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1))[None, :]
+                    d = 1 - np.divide(d, norms, out=np.zeros_like(d), where=norms > 0)
+                elif metric == "l2":
+                    d = np.maximum((q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * d, 0)
+                rounded = np.floor(d * 1e6 + 0.5)
+                order = np.argsort(rounded, axis=1, kind="stable")[:, :k]
+                out.append([{"q": i, "c": int(j), "d": float(d[i, j])} for i, row in enumerate(order) for j in row])
+            yield pa.array(out, kind)
+
+    return F.arrow_udf(run, "array<struct<q:int,c:int,d:double>>")("dim", "qm", "m")
+
+
 def knn(queries: DataFrame, coll: DataFrame, k: int, metric: str = "cosine", condition: Column | None = None, max_distance: float | None = None,
         block: int = 1024) -> DataFrame:
     """(query_id, id, distance, rank) of the ``k`` nearest rows for each query (query_id, embedding).
 
-    Exact.  Queries meet the collection in blocks: every collection row is scored against a block of
-    about ``block`` queries at once and only a bounded heap per task reaches the shuffle (window group limit).
+    Exact.  Both sides are packed into matrices of up to ``block`` rows without a shuffle; a matrix product for each pair of blocks gives the
+    distances, of which ``k`` a query and pair reach the shuffle.  Ids stay out of the arithmetic.  A vector of length zero is at cosine distance 1 from all.
     """
-    c = coll if condition is None else coll.where(condition)
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    n = queries.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block)).alias("n_blocks"))  # one row
-    q = q.crossJoin(F.broadcast(n)).withColumn("b", F.pmod(F.xxhash64("query_id"), F.col("n_blocks")))
-    q = q.groupBy("b").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    pairs = c.select("id", "embedding").crossJoin(q).select("id", "embedding", F.inline("qs"))
-    pairs = pairs.where(F.size("q") == F.size("embedding")).select("query_id", "id", F.round(distance(F.col("q"), F.col("embedding"), metric), 6).alias("distance"))
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    c = _packed(coll if condition is None else coll.where(condition), "id", "embedding", 4 * block)
+    q = _packed(queries, "query_id", "embedding", block).select("dim", F.col("ids").alias("qids"), F.col("m").alias("qm"))
+    near = c.join(q, "dim").withColumn("near", _nearest(metric, k)).select("ids", "qids", F.explode("near").alias("x"))
+    pairs = near.select(F.get("qids", F.col("x.q")).alias("query_id"), F.get("ids", F.col("x.c")).alias("id"), F.round("x.d", 6).alias("distance"))
     if max_distance is not None:
         pairs = pairs.where(F.col("distance") <= max_distance)
     order = Window.partitionBy("query_id").orderBy("distance", "id")

@@ -9,7 +9,7 @@ from kbspark.operators import answers as A
 from kbspark.operators import evaluation as E
 from kbspark.operators import lexical as L
 from kbspark.plans.base import BM25, corpus, query, questions, table
-from kbspark.plans.documents import bm25_hits
+from kbspark.plans.documents import bm25_hits, index_of
 
 #: What is put behind an assistant's whole turn, by (conv_id + turn) % 6.
 TAILS = (" [1]", " [1、2] [0] [7, 2]", "", " 1/3=0.34 and 2*3=6 and 5/0=1 [2,3]", "\n\n（注：修正如下）资料未提及", " 很可能 候选片段 [9]")
@@ -165,8 +165,8 @@ def results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expected(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold the whole item: a text that holds it shares its tokens, so BM25 pairs are all candidates."""
-    pairs = bm25_hits(spark, d).join(questions(spark, d), "query_id").join(corpus(spark, d).select("chunk_id", "text"), "chunk_id")
+    """Documents that hold the whole item, sought among those that hold its rarest token."""
+    pairs = index_of(spark, d).holders(questions(spark, d)).join(questions(spark, d), "query_id").join(corpus(spark, d).select("chunk_id", "text"), "chunk_id")
     return pairs.where(F.contains("text", F.col("query"))).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("doc_id"))
 
 

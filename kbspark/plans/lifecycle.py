@@ -41,16 +41,16 @@ def dedupe(spark: SparkSession, d: str) -> DataFrame:
     return I.dedupe_documents(documents(spark, d)).select("doc_id", "keeper", "role")
 
 
-@query("I2", f"""WITH {DOCS}, inc AS (SELECT doc_id AS upload_id, lang AS tenant_id, source AS kb_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 2 = 0),
-  held AS (SELECT * FROM dm WHERE doc_id % 4 < 2 AND status <> 'failed'),
+@query("I2", f"""WITH {DOCS}, inc AS (SELECT doc_id AS upload_id, lang AS tenant_id, source AS kb_id, sha256(text) AS content_hash FROM documents),
+  held AS (SELECT * FROM dm WHERE status <> 'failed'),
   j AS (SELECT i.*, h.doc_id AS existing, h.status, row_number() OVER (PARTITION BY upload_id ORDER BY {_rank_sql(I.UPLOAD_PRIORITY)}, h.created_at DESC, h.doc_id) AS n
     FROM inc i LEFT JOIN held h ON i.content_hash = h.content_hash AND i.tenant_id = h.tenant_id AND i.kb_id = h.kb_id)
   SELECT upload_id, existing, CASE WHEN status = 'ready' THEN 'ready' WHEN status IS NOT NULL THEN 'conflict'
     WHEN row_number() OVER (PARTITION BY tenant_id, kb_id, content_hash ORDER BY upload_id) > 1 THEN 'conflict' ELSE 'created' END AS action FROM j WHERE n = 1""")
 def claim(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
-    inc = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("upload_id"), "tenant_id", "kb_id", "content_hash")
-    return I.claim_uploads(inc, docs.where("doc_id % 4 < 2")).select("upload_id", "existing", "action")
+    inc = docs.select(F.col("doc_id").alias("upload_id"), "tenant_id", "kb_id", "content_hash")
+    return I.claim_uploads(inc, docs).select("upload_id", "existing", "action")
 
 
 _OK = " OR ".join(f"(before = '{a}' AND after IN ({', '.join(repr(b) for b in bs)}))" for a, bs in I.TRANSITIONS.items())
@@ -237,10 +237,18 @@ def purge(spark: SparkSession, d: str) -> DataFrame:
     return I.purge_plan({"documents": docs, "labels": table(spark, d, "labels"), "vectors": table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")}, docs.where("source = 'src3'"))
 
 
-@query("I21", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'failed at [已隐藏地址] with api_key=[已隐藏], see [已隐藏路径] now' WHEN 1 THEN 'Password: [已隐藏] in [已隐藏路径] end' ELSE 'plain ' || page_id || ' text' END AS detail FROM pages""")
+@query("I21", r"""WITH m AS (SELECT page_id, trim(CASE page_id % 3 WHEN 0 THEN 'failed at  ' || url || ' with api_key=s3cr3t, see /home/app/x' || page_id || '/log' || chr(10) || ' now ' || html
+    WHEN 1 THEN html || ' Password: p' || page_id || ' in C:\data\x.txt end' ELSE 'plain ' || url || '  ' || html END) AS t FROM pages),
+  a AS (SELECT page_id, regexp_replace(t, '(?i)\b(api[_-]?key|access[_-]?token|authorization|password)(\s*[:=]\s*)[^\s,;]+', '\1\2[已隐藏]', 'g') AS t FROM m),
+  b AS (SELECT page_id, regexp_replace(t, '(?i)\b(?:https?|ftp)://[^\s<>"''`]+', '[已隐藏地址]', 'g') AS t FROM a),
+  c AS (SELECT page_id, regexp_replace(t, '(^|[^\w])(?:[A-Za-z]:[\\/]|\\\\)[^\s<>"''`]+', '\1[已隐藏路径]', 'g') AS t FROM b),
+  e AS (SELECT page_id, regexp_replace(t, '(^|[^\w])/(?:Users|home|tmp|var|private|opt|app|mnt|workspace)(?:/[^\s<>"''`]+)+', '\1[已隐藏路径]', 'g') AS t FROM c),
+  f AS (SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM e)
+  SELECT page_id, CASE WHEN length(t) > 240 THEN rtrim(left(t, 237)) || '...' ELSE t END AS detail FROM f""")
 def redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Messages around the whole page."""
     i = F.col("page_id")
-    raw = F.when(i % 3 == 0, F.concat(F.lit("failed at  "), "url", F.lit(" with api_key=s3cr3t, see /home/app/x"), i.cast("string"), F.lit("/log\n now"))).when(
-        i % 3 == 1, F.concat(F.lit("Password: p"), i.cast("string"), F.lit(r" in C:\data\x.txt end"))
-    ).otherwise(F.concat(F.lit("plain "), i.cast("string"), F.lit("  text")))
+    raw = F.when(i % 3 == 0, F.concat(F.lit("failed at  "), "url", F.lit(" with api_key=s3cr3t, see /home/app/x"), i.cast("string"), F.lit("/log\n now "), "html")).when(
+        i % 3 == 1, F.concat("html", F.lit(" Password: p"), i.cast("string"), F.lit(r" in C:\data\x.txt end"))
+    ).otherwise(F.concat(F.lit("plain "), "url", F.lit("  "), "html"))
     return table(spark, d, "pages").select("page_id", I.redact(raw).alias("detail"))
