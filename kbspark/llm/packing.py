@@ -100,23 +100,24 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
     fields = {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long"} | ({"ids": "binary"} if with_ids else {})
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_ids(tokenizer)
         for batch in batches:
-            rows, ends = [], [0]
-            for text in batch:
+            rows, of = [], []
+            for i, text in enumerate(batch.column(1)):
                 ids = own.encode(text.as_py()) + end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((n, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(fields)])
-                ends.append(len(rows))
+                    of.append(i)
             columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-            flat = pa.StructArray.from_arrays([pa.array(c, kinds[k]) for c, k in zip(columns, fields.values(), strict=True)], list(fields))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            arrays = [pa.array(c, kinds[k]) for c, k in zip(columns, fields.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *arrays], ["doc_id", *fields])
 
-    cut = F.arrow_udf(run, "array<struct<" + ",".join(f"{n}:{k}" for n, k in fields.items()) + ">>")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), cut(text_of("text")).alias("pieces"))
-    return rows.select("doc_id", F.inline("pieces")).withColumn("salt", F.monotonically_increasing_id())
+    # not a UDF under inline(): Spark would infer a filter from it and encode every text twice
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text_"))
+    rows = rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} {k}" for n, k in fields.items()))
+    return rows.withColumn("salt", F.monotonically_increasing_id())
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
