@@ -59,3 +59,19 @@ qt AS (SELECT query_id, token, count(*) AS qtf FROM (
   SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS token FROM benchmark) WHERE token NOT IN {STOP} GROUP BY ALL),
 bm AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25_score
   FROM qt JOIN term USING (token) JOIN post USING (token) JOIN dl USING (chunk_id), st GROUP BY ALL)"""
+
+
+# --- folds in DuckDB SQL: lists whose last element is what is being filled ('' for nothing)
+
+def fold_sql(items: str, step: str) -> str:
+    """SQL of a fold over a list of strings: ``step`` makes a new list of ``acc`` and the string ``x[1]``."""
+    return f"list_reduce(list_prepend([''], list_transform({items}, lambda y: [y])), lambda acc, x: {step})"
+
+
+CUR, DONE = "acc[len(acc)]", "acc[1:len(acc) - 1]"
+FLUSHED = f"(CASE WHEN {CUR} = '' THEN {DONE} ELSE acc END)"
+
+
+def closed_sql(folded: str) -> str:
+    """A folded list without an empty last element."""
+    return f"list_transform([{folded}], lambda z: CASE WHEN z[len(z)] = '' THEN z[1:len(z) - 1] ELSE z END)[1]"

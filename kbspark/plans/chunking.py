@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kbspark.functions import text as T
 from kbspark.operators import chunking as C
 from kbspark.operators import documents as D
-from kbspark.plans.base import query, table
+from kbspark.plans.base import CUR, DONE, FLUSHED, closed_sql, fold_sql, query, table
 from kbspark.sources.corpus import GenerationSink
 from kbspark.sources.shared import shared_folder
 
@@ -23,7 +23,38 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("idx", "text"))
 
 
-@query("B3")
+def _char(sep: str) -> str:
+    return " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in sep)
+
+
+def _level_sql(x: str, sep: str, size: str, last: bool) -> str:
+    fits = f"length({CUR}) + CASE WHEN {CUR} = '' THEN 0 ELSE {len(sep)} END + length(x[1]) <= {size}"
+    alone = "" if last else f"WHEN length(x[1]) > {size} THEN list_concat({FLUSHED}, [x[1], ''])"
+    step = f"CASE WHEN {fits} THEN list_append({DONE}, CASE WHEN {CUR} = '' THEN x[1] ELSE {CUR} || {_char(sep)} || x[1] END) {alone} ELSE list_append({FLUSHED}, x[1]) END"
+    return f"CASE WHEN length({x}) > {size} THEN {closed_sql(fold_sql(f'string_split({x}, {_char(sep)})', step))} WHEN trim({x}) = '' THEN [] ELSE [{x}] END"
+
+
+def split_sql(text: str, size: str, separators=C.SEPARATORS) -> str:
+    """A text cut at one separator after the other."""
+    out = _level_sql(text, separators[0], size, len(separators) == 1)
+    for n, sep in enumerate(separators[1:], 2):
+        out = f"flatten(list_transform({out}, lambda x{n}: {_level_sql(f'x{n}', sep, size, n == len(separators))}))"
+    return out
+
+
+def merge_sql(pieces: str, size: str) -> str:
+    right, left = rf"regexp_replace({CUR}, '\s+$', '')", r"regexp_replace(x[1], '^\s+', '')"
+    step = f"CASE WHEN {CUR} = '' THEN list_append({DONE}, x[1]) WHEN length({right}) + 2 + length({left}) <= {size} THEN list_append({DONE}, {right} || chr(10) || chr(10) || {left}) ELSE list_append(acc, x[1]) END"
+    return closed_sql(fold_sql(pieces, step))
+
+
+RECURSIVE = f"""cut AS (SELECT doc_id, {split_sql('text', '512')} AS l FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+merged AS (SELECT doc_id, {merge_sql('l', '512')} AS l FROM cut), piece AS (SELECT doc_id, unnest(range(len(l)))::INTEGER AS idx, unnest(l) AS text FROM merged),
+chunk AS (SELECT doc_id, idx, CASE WHEN b IS NOT NULL AND room > 0 THEN right(b, room) ELSE '' END || text AS text
+  FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY idx) AS b, greatest(least(100, 512 - length(text)), 0) AS room FROM piece))"""
+
+
+@query("B3", f"WITH {RECURSIVE} SELECT * FROM chunk")
 def recursive(spark: SparkSession, d: str) -> DataFrame:
     return C.recursive_chunks(table(spark, d, "documents"))
 
@@ -34,12 +65,34 @@ def overlap(spark: SparkSession, d: str) -> DataFrame:
     return C.add_overlap(lines(spark, d), 300, 50)
 
 
-@query("B5")
+TOKENS = "floor(len(regexp_extract_all(text, '[一-鿿]')) * 1.5 + greatest(len(regexp_extract_all(text, '\\S+')) - len(regexp_extract_all(text, '[一-鿿]')), 0) * 1.2)"
+
+
+@query("B5", rf"""WITH {RECURSIVE}, t AS (SELECT *, {TOKENS.replace(chr(92) * 2, chr(92))} AS t FROM chunk), z AS (SELECT *, greatest(floor(length(text) * (60.0::DOUBLE / greatest(t, 1)) * 0.9), 50)::INTEGER AS size FROM t),
+  c AS (SELECT doc_id, idx, size, CASE WHEN t > 60 THEN {split_sql('text', 'size', C.SEPARATORS[1:])} ELSE [text] END AS l, t FROM z), m AS (SELECT doc_id, idx, size, CASE WHEN t > 60 THEN {merge_sql('l', 'size')} ELSE l END AS l FROM c),
+  p AS (SELECT doc_id, idx, size, unnest(range(len(l))) AS sub, unnest(l) AS text FROM m), b AS (SELECT *, lag(text) OVER (PARTITION BY doc_id, idx ORDER BY sub) AS b, greatest(least(50, size - length(text)), 0) AS room FROM p)
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx, sub) - 1)::INTEGER AS idx, CASE WHEN b IS NOT NULL AND room > 0 THEN right(b, room) ELSE '' END || text AS text FROM b""")
 def resplit(spark: SparkSession, d: str) -> DataFrame:
     return C.recursive_chunks(table(spark, d, "documents"), max_tokens=60)
 
 
-@query("B6")
+def pack_sql(parts: str, size: int) -> str:
+    step = f"CASE WHEN length(x[1]) > {size} THEN list_concat({FLUSHED}, [x[1], '']) WHEN length({CUR}) + length(x[1]) <= {size} THEN list_append({DONE}, {CUR} || x[1]) ELSE list_append({FLUSHED}, x[1]) END"
+    return closed_sql(fold_sql(parts, step))
+
+
+def _behind(text: str, signs: str) -> str:
+    return rf"string_split(regexp_replace({text}, '([{signs}])\s*', '\1' || chr(1), 'g'), chr(1))"
+
+
+_HARD = "CASE WHEN length(v) > 512 THEN list_transform(range(0, (length(v) - 1) // 512 + 1), lambda i: substring(v, i * 512 + 1, 512)) ELSE [v] END"
+_CLAUSES = f"flatten(list_transform({pack_sql(_behind('u', '，,；;、'), 512)}, lambda v: {_HARD}))"
+SENTENCES = rf"""sent AS (SELECT doc_id, list_filter(list_transform({_behind("coalesce(text, '')", '。！？.!?；;')}, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+packed AS (SELECT doc_id, s, {pack_sql('s', 512)} AS p FROM sent), whole AS (SELECT doc_id, s, flatten(list_transform(p, lambda u: CASE WHEN length(u) > 512 THEN {_CLAUSES} ELSE [u] END)) AS c FROM packed),
+chunk AS (SELECT doc_id, s, unnest(range(len(c)))::INTEGER AS idx, unnest(c) AS text FROM whole)"""
+
+
+@query("B6", f"WITH {SENTENCES} SELECT doc_id, idx, text FROM chunk")
 def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
     return C.sentence_chunks(table(spark, d, "documents"), overlap_sentences=0)
 
@@ -50,7 +103,8 @@ def sentences(spark: SparkSession, d: str) -> DataFrame:
     return C.sentences(table(spark, d, "documents"))
 
 
-@query("B8")
+@query("B8", f"""WITH {SENTENCES}, a AS (SELECT *, coalesce(list_position(list_transform(s, lambda x: contains(x, left(text, 20))), TRUE), 0) AS first FROM chunk)
+  SELECT doc_id, idx, CASE WHEN idx > 0 AND first > 1 THEN right(array_to_string(s[greatest(first - 2, 1):first - 1], ''), 100) ELSE '' END || text AS text FROM a""")
 def sentence_overlap(spark: SparkSession, d: str) -> DataFrame:
     return C.sentence_chunks(table(spark, d, "documents"))
 

@@ -83,7 +83,9 @@ def markdown(spark: SparkSession, d: str) -> DataFrame:
     return D.markdown_blocks(docs)
 
 
-@query("A10")
+@query("A10", """SELECT doc_id, len(l)::INTEGER AS n_lines, len(list_reduce(list_prepend([]::VARCHAR[], list_transform(l, lambda y: [y])),
+    lambda acc, x: CASE WHEN list_contains(acc[greatest(len(acc) - 2, 1):], x[1]) THEN acc ELSE list_concat(acc, x) END))::INTEGER AS n_kept
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
 def recent_repeats(spark: SparkSession, d: str) -> DataFrame:
     lines = F.split("text", "\n")
     docs = table(spark, d, "documents")

@@ -226,7 +226,21 @@ def ingest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out/chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query("J2")
+_LAST, _NOW = "acc[len(acc)]", "x[1]"
+_FRESH = f"({_LAST}.start < 0 OR {_NOW}.t - {_LAST}.start >= 60)"
+_COUNT, _TODAY = f"(CASE WHEN {_FRESH} THEN 0 ELSE {_LAST}.n END)", f"(CASE WHEN floor({_NOW}.t / 86400) = {_LAST}.day THEN {_LAST}.today ELSE 0 END)"
+_FULL, _SPENT = f"{_COUNT} >= 1", f"{_TODAY} >= 5"
+_TAKEN = f"NOT ({_FULL}) AND NOT ({_SPENT})"
+
+
+@query("J2", f"""WITH e AS (SELECT user_id AS key, list({{'id': event_id, 't': epoch_us(ts) / 1e6, 'allowed': TRUE, 'reason': '', 'retry': 0, 'start': -1.0::DOUBLE, 'n': 0, 'day': -1.0::DOUBLE, 'today': 0}} ORDER BY ts, event_id) AS l FROM events GROUP BY key),
+  f AS (SELECT key, list_reduce(list_transform(list_prepend({{'id': -1::BIGINT, 't': 0.0::DOUBLE, 'allowed': TRUE, 'reason': '', 'retry': 0, 'start': -1.0::DOUBLE, 'n': 0, 'day': -1.0::DOUBLE, 'today': 0}}, l), lambda y: [y]),
+    lambda acc, x: list_append(acc, {{'id': {_NOW}.id, 't': {_NOW}.t, 'allowed': {_TAKEN}, 'reason': CASE WHEN {_FULL} THEN 'minute' WHEN {_SPENT} THEN 'day' ELSE '' END,
+      'retry': CASE WHEN {_FULL} THEN greatest(1, floor(60 - ({_NOW}.t - {_LAST}.start))::INTEGER) WHEN {_SPENT} THEN greatest(1, floor((floor({_NOW}.t / 86400) + 1) * 86400 - {_NOW}.t)::INTEGER) ELSE 0 END,
+      'start': CASE WHEN {_TAKEN} AND {_FRESH} THEN {_NOW}.t ELSE {_LAST}.start END, 'n': CASE WHEN {_TAKEN} THEN {_COUNT} + 1 ELSE {_LAST}.n END,
+      'day': CASE WHEN {_TAKEN} THEN floor({_NOW}.t / 86400) ELSE {_LAST}.day END, 'today': CASE WHEN {_TAKEN} THEN {_TODAY} + 1 ELSE {_LAST}.today END}})) AS l FROM e),
+  r AS (SELECT key, unnest(l[2:]) AS d FROM f)
+  SELECT key, d.id AS event_id, d.allowed AS allowed, nullif(d.reason, '') AS reason, CASE WHEN NOT d.allowed THEN d.retry END AS retry_after FROM r""")
 def usage(spark: SparkSession, d: str) -> DataFrame:
     return J.usage_limits(keyed(spark, d), rpm=1, daily=5)
 
