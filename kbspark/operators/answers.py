@@ -173,7 +173,7 @@ LABELS = {
     "answer": ("answer", "supported", "可回答", "证据充分"), "boundary": ("boundary", "explicitboundary", "明确边界", "明确未披露"), "abstain": ("abstain", "insufficient", "unsupported", "无法回答", "证据不足"),
     "conflict": ("conflict", "conflicting", "冲突", "证据冲突"), "expand": ("expand", "context", "补上下文", "扩展上下文"),
 }
-CONTROL = "action string, supported_indices string, conflicting_indices string, missing_facets string, retry_query string, expand_indices string, expand_direction string, reason_code string, claims string"
+CONTROL = "action string, supported_indices string, conflicting_indices string, %s string, retry_query string, expand_indices string, expand_direction string, reason_code string, claims string"
 
 
 def _numbers(json: Column, n: Column) -> Column:
@@ -183,21 +183,22 @@ def _numbers(json: Column, n: Column) -> Column:
     return F.coalesce(F.array_distinct(F.filter(whole, lambda x: (x >= 1) & (x <= n))), F.array().cast("array<int>"))
 
 
-def parse_controls(raw: DataFrame, allow_retry: bool = True, allow_expand: bool = False) -> DataFrame:
+def parse_controls(raw: DataFrame, allow_retry: bool = True, allow_expand: bool = False, missing_key: str = "missing_aspects") -> DataFrame:
     """(case_id, raw, n) -> case_id, action, supported, conflicting, missing, retry_query, expand, direction, reason, of replies in JSON or of one word.
 
     Fails closed: what is no JSON object, no known action, or lacks what its action needs (a source to answer by, two for a conflict, a query to retry
     with, passages to expand) is ``unavailable``.  Sources that are not listed come from the claims.  A retry or expansion that is not allowed any
-    more is ``partial`` if it has both sources and missing aspects, else ``abstain``.  Aspects: the first six, 120 characters each.
+    more is ``partial`` if it has both sources and missing aspects, else ``abstain``.  Aspects (the field ``missing_key`` of a reply): the first six, 120 characters each.
     """
     text = F.trim(F.coalesce("raw", F.lit("")))
     obj = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    r = raw.select("case_id", "n", obj.alias("obj"), F.lower(F.regexp_replace(text, r"[`*_#\s。.！!]+", "")).alias("word"), F.from_json(obj, CONTROL + ", broken string", {"columnNameOfCorruptRecord": "broken"}).alias("p"))
+    r = raw.select("case_id", "n", obj.alias("obj"), F.lower(F.regexp_replace(text, r"[`*_#\s。.！!]+", "")).alias("word"), F.from_json(obj, CONTROL % f"`{missing_key}`" + ", broken string", {"columnNameOfCorruptRecord": "broken"}).alias("p"))
     n, none = F.col("n"), F.array().cast("array<int>")
     clean = lambda c: F.trim(F.coalesce(F.col(f"p.{c}"), F.lit("")))
     looked = lambda c, table: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), c)
     claims = F.from_json("p.claims", "array<struct<statement:string,claim:string,kind:string,source_indices:string>>")
-    listed = F.when(F.trim("p.missing_facets").startswith("["), F.slice(F.from_json("p.missing_facets", "array<string>"), 1, 6))
+    aspects = F.col("p")[missing_key]
+    listed = F.when(F.trim(aspects).startswith("["), F.slice(F.from_json(aspects, "array<string>"), 1, 6))
     missing = F.array_distinct(F.filter(F.transform(listed, lambda x: F.substring(F.trim(x), 1, 120)), lambda x: x != ""))
     r = r.withColumns({
         "a": looked(F.lower(clean("action")), ACTIONS), "claims": F.slice(F.coalesce(claims, F.array().cast("array<struct<statement:string,claim:string,kind:string,source_indices:string>>")), 1, 8),

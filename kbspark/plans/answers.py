@@ -124,10 +124,10 @@ def verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 #: (reply, action, supported, conflicting, missing, retry_query, expand, direction, reason), with retries allowed and expansion not.
 CONTROLS = (
-    ('{"action":"Sufficient","supported_indices":[1,2,9],"missing_facets":[" %"," %",""],"reason_code":"r1"}', "answer", "1,2", "", "M", "", "", "both", "r1"),
+    ('{"action":"Sufficient","supported_indices":[1,2,9],"missing_aspects":[" %"," %",""],"reason_code":"r1"}', "answer", "1,2", "", "M", "", "", "both", "r1"),
     ("**Supported**。", "answer", "1,2,3", "", "", "", "", "both", "evidence_answer_bare_label"),
     ('%{"action":"retry","retry_query":"%"}', "retry", "", "", "", "Q", "", "both", "evidence_retry"),
-    ('{"action":"context","supported_indices":"2","missing_facets":["%"],"expand_indices":[1],"expand_direction":"前"}', "partial", "2", "", "M", "", "", "both", "evidence_expand_exhausted_partial"),
+    ('{"action":"context","supported_indices":"2","missing_aspects":["%"],"expand_indices":[1],"expand_direction":"前"}', "partial", "2", "", "M", "", "", "both", "evidence_expand_exhausted_partial"),
     ('{"action":"conflict","claims":[{"statement":"%","source_indices":[1]},{"claim":"%","kind":"conflict","source_indices":["3"]}]}', "conflict", "1", "3", "", "", "", "both", "evidence_conflict"),
     ("% supported", "unavailable", "", "", "", "", "", "both", "evidence_controller_invalid_json"),
 )

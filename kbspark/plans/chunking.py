@@ -11,6 +11,7 @@ from kbspark.functions import text as T
 from kbspark.operators import chunking as C
 from kbspark.operators import documents as D
 from kbspark.plans.base import CUR, DONE, FLUSHED, closed_sql, fold_sql, query, table
+from kbspark.plans.documents import MARKDOWN
 from kbspark.sources.corpus import GenerationSink
 from kbspark.sources.shared import shared_folder
 
@@ -122,7 +123,29 @@ def blocks(spark: SparkSession, d: str) -> DataFrame:
     return D.markdown_blocks(docs)
 
 
-@query("B10")
+_L, _X = "acc[len(acc)]", "x[1]"
+_NEW = f"({_L}.g + CASE WHEN {_L}.n > 0 THEN 1 ELSE 0 END)"
+_PATH = f"CASE WHEN {_X}.p = '' THEN {_L}.path ELSE {_X}.p END"
+#: What becomes of the state (g: parent being filled, n: its blocks, t: its tokens, its path, whether it is one heading) and which parent a block joins, case by case.
+_CASES = (
+    (f"{_X}.kind IN ('heading', 'title')", (_NEW, "1", f"{_X}.tok", f"{_X}.p", "TRUE", _NEW)),
+    (f"{_X}.kind IN ('table', 'code') AND {_L}.n = 1 AND {_L}.head AND {_L}.path = {_X}.p", (f"{_L}.g + 1", "0", "0", "''", "FALSE", f"{_L}.g")),
+    (f"{_X}.kind IN ('table', 'code')", (f"{_NEW} + 1", "0", "0", "''", "FALSE", _NEW)),
+    (f"{_L}.n > 0 AND (({_L}.path <> '' AND {_X}.p <> '' AND {_L}.path <> {_X}.p) OR {_L}.t + {_X}.tok > 1024)", (f"{_L}.g + 1", "1", f"{_X}.tok", _PATH, "FALSE", f"{_L}.g + 1")),
+    ("TRUE", (f"{_L}.g", f"{_L}.n + 1", f"{_L}.t + {_X}.tok", _PATH, "FALSE", f"{_L}.g")),
+)
+_STATE = ", ".join(f"'{name}': CASE " + " ".join(f"WHEN {when} THEN {then[i]}" for when, then in _CASES) + " END" for i, name in enumerate(("g", "n", "t", "path", "head", "id")))
+_ITEM = "{'g': 0, 'n': 0, 't': 0, 'path': '', 'head': FALSE, 'id': 0, 'tok': %s, 'p': %s, 'kind': %s, 'text': %s, 'pos': %s}"
+PARENTS = f"""md AS ({MARKDOWN}), tk AS (SELECT doc_id, pos, kind, trim(text) AS text, coalesce(heading_path, '') AS p FROM md WHERE trim(text) <> ''),
+bt AS (SELECT *, {TOKENS.replace(chr(92) * 2, chr(92))}::INTEGER AS tok FROM tk),
+fo AS (SELECT doc_id, list_reduce(list_transform(list_prepend({_ITEM % ("0", "''", "''", "''", "-1")}, list({_ITEM % ("tok", "p", "kind", "text", "pos")} ORDER BY pos)), lambda y: [y]),
+  lambda acc, x: list_append(acc, {{{_STATE}, 'tok': {_X}.tok, 'p': {_X}.p, 'kind': {_X}.kind, 'text': {_X}.text, 'pos': {_X}.pos}})) AS l FROM bt GROUP BY doc_id),
+un AS (SELECT doc_id, unnest(l[2:]) AS b FROM fo), nb AS (SELECT doc_id, b.id AS parent_index, b.kind AS kind, b.text AS text, b.pos AS pos, b.p AS p FROM un),
+par AS (SELECT doc_id, parent_index::INTEGER AS parent_index, doc_id || ':p' || parent_index AS parent_id, string_agg(text, chr(10) ORDER BY pos) AS text,
+  coalesce(arg_max(kind, pos) FILTER (kind NOT IN ('heading', 'title')), arg_min(kind, pos)) AS kind, coalesce(arg_max(p, pos) FILTER (kind NOT IN ('heading', 'title')), arg_min(p, pos)) AS heading_path FROM nb GROUP BY doc_id, parent_index)"""
+
+
+@query("B10", f"WITH {PARENTS} SELECT * FROM par")
 def parents(spark: SparkSession, d: str) -> DataFrame:
     return C.build_parents(blocks(spark, d))
 

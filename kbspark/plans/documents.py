@@ -69,7 +69,8 @@ def prelude(spark: SparkSession, d: str) -> DataFrame:
     return D.html_prelude(table(spark, d, "pages"))
 
 
-@query("A9", r"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(t, chr(10))))) AS n, unnest(string_split(t, chr(10))) AS line
+#: Markdown blocks of all documents, each under a heading of its source.
+MARKDOWN = r"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(t, chr(10))))) AS n, unnest(string_split(t, chr(10))) AS line
     FROM (SELECT doc_id, '# ' || source || chr(10) || text AS t FROM documents)),
   b AS (SELECT * FROM l WHERE trim(line) <> '')
   SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INTEGER AS pos,
@@ -77,7 +78,10 @@ def prelude(spark: SparkSession, d: str) -> DataFrame:
       WHEN regexp_matches(line, '^\s*\|.*\|\s*$') THEN 'table' WHEN regexp_matches(line, '^\s*>') THEN 'quote' ELSE 'paragraph' END AS kind,
     trim(regexp_replace(line, '^\s*(#{1,6} +|[-*+] +|\d+\. +|> ?)', '')) AS text,
     last_value(CASE WHEN regexp_matches(line, '^# +\S') THEN trim(line[3:]) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS heading_path
-  FROM b""")
+  FROM b"""
+
+
+@query("A9", MARKDOWN)
 def markdown(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n"), "text").alias("text"))
     return D.markdown_blocks(docs)
@@ -103,7 +107,8 @@ def with_prelude(spark: SparkSession, d: str) -> DataFrame:
     return D.prepend_prelude(blocks, docs.select("doc_id", F.col("source").alias("title"), F.col("lang").alias("subtitle")))
 
 
-@query("A12")
+@query("A12", """SELECT item_id AS case_id, b.text AS query, 'passage' AS category, 'easy' AS difficulty, string_agg(DISTINCT source || '-' || doc_id || '-txt', ',' ORDER BY source || '-' || doc_id || '-txt') AS expected_doc_ids
+  FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id, b.text""")
 def qa_cases(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark items as QA records whose context is every document that holds the item."""
     q, docs = table(spark, d, "benchmark"), corpus(spark, d)
@@ -118,7 +123,7 @@ def qa_cases(spark: SparkSession, d: str) -> DataFrame:
         F.collect_set(F.struct(F.col("filename").alias("title"), F.lit(0).alias("sent"))).alias("supporting_facts"),
     )
     facts = facts.withColumns({"answer": F.lit("yes"), "type": F.lit("passage"), "level": F.lit("easy")})
-    return D.prepare_qa(facts)[1].drop("expected_facts")
+    return D.prepare_qa(facts)[1].drop("expected_facts").withColumn("expected_doc_ids", F.array_join("expected_doc_ids", ","))
 
 
 @query("B1", r"SELECT doc_id, floor(len(regexp_extract_all(text, '[^\s]+')) * 1.2)::INTEGER AS tokens FROM documents")

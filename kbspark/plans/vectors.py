@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,11 +93,26 @@ def validate(spark: SparkSession, d: str) -> DataFrame:
     return V.validate_vectors(rows, 64).select("id", "reason")
 
 
-@query("D8")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_shares(texts: list[str]) -> list[list[float]]:
+    """A function for the embedding job: counts of the 26 letters, to length one."""
+    out = []
+    for t in texts:
+        n = [float(t.count(c) + t.count(c.upper())) for c in LETTERS]
+        length = math.sqrt(sum(x * x for x in n)) or 1.0
+        out.append([x / length for x in n])
+    return out
+
+
+@query("D8", f"""WITH n AS (SELECT doc_id AS id, [{", ".join(f"(length(text) - length(replace(replace(text, '{c}', ''), '{c.upper()}', '')))::DOUBLE" for c in LETTERS)}] AS n FROM documents),
+  v AS (SELECT id, n, sqrt(list_sum(list_transform(n, lambda x: x * x))) AS s FROM n)
+  SELECT id, len(n)::INTEGER AS dimension, unnest(range(26))::INTEGER AS pos, round(unnest(list_transform(n, lambda x: CASE WHEN s = 0 THEN 0.0::DOUBLE ELSE x / s END::FLOAT::DOUBLE)), 5) AS x FROM v""")
 def embed(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    out = V.embed(docs, V.hashed_embedding(64), 64)
-    return out.select("id", F.size("embedding").alias("dimension"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"))
+    out = V.embed(docs, letter_shares, len(LETTERS))
+    return out.select("id", F.size("embedding").alias("dimension"), F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
 @query("D9", """SELECT count(*) AS rows, count(DISTINCT label) AS documents, round(count(*)::DOUBLE / count(DISTINCT label), 6) AS chunks_per_document,

@@ -33,8 +33,8 @@ def test_objects(spark):
         (reply(action="supported", supported_indices=[2, True, "1", 9, 2, 1.5, None]), 3),
         (reply(action="answer", supported_indices=[9]), 3),
         (reply(action="known_unknown", supported_indices=3, reason_code=" why "), 3),
-        (reply(action="partial", supported_indices=[1], missing_facets=[" a ", "a", "", "b" * 130, "c", "d", "e", "f"]), 3),
-        (reply(action="partial", supported_indices=[1], missing_facets="a"), 3),
+        (reply(action="partial", supported_indices=[1], missing_aspects=[" a ", "a", "", "b" * 130, "c", "d", "e", "f"]), 3),
+        (reply(action="partial", supported_indices=[1], missing_aspects="a"), 3),
         (reply(action="conflict", supported_indices=[1], conflicting_indices=["2"]), 3),
         (reply(action="conflict", supported_indices=[1], conflicting_indices=[1]), 3),
         (reply(action="answer", claims=[{"statement": "s", "source_indices": [2]}, {"claim": "t", "kind": "paraphrase", "source_indices": "3"}, {"statement": " ", "source_indices": [1]}, {"statement": "u", "kind": "odd", "source_indices": [1]}]), 3),
@@ -50,7 +50,7 @@ def test_objects(spark):
 
 
 def test_what_is_not_allowed_any_more(spark):
-    retry = [(reply(action="retry", retry_query=" q "), 3), (reply(action="retry"), 3), (reply(action="retry", retry_query="q", supported_indices=[1], missing_facets=["a"]), 3)]
+    retry = [(reply(action="retry", retry_query=" q "), 3), (reply(action="retry"), 3), (reply(action="retry", retry_query="q", supported_indices=[1], missing_aspects=["a"]), 3)]
     expand = [(reply(action="expand_context", expand_indices=[2], expand_direction="next"), 3), (reply(action="expand"), 3), (reply(action="expand", expand_indices=[1], expand_direction="up"), 3)]
     assert parsed(spark, retry) == [
         row("retry", "evidence_retry", query="q"), row("unavailable", "evidence_controller_missing_retry_query"), row("retry", "evidence_retry", (1,), missing=("a",), query="q"),
