@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Patterns of answers (fixed values).
+PREFIX = r"^[\s#>*\-\d.]+"  # marks before the words of a paragraph
 CITATION = r"\[((?:\d+\s*(?:[,，、]\s*\d+\s*)*))\]"
 EQUATION = r"(?<![\w.])(-?\d+(?:\.\d+)?)\s*([+\-*/×÷])\s*(-?\d+(?:\.\d+)?)\s*=\s*(-?\d+(?:\.\d+)?)(?![\w.])"
 REFUSALS = ("资料未提及", "没有找到", "无法从参考资料")
@@ -47,7 +48,7 @@ def invalid_citations(answers: DataFrame, labels: DataFrame) -> DataFrame:
 def _paragraphs(answers: DataFrame) -> DataFrame:
     parts = F.split(F.coalesce("answer", F.lit("")), r"\n\s*\n")
     p = answers.select("answer_id", F.posexplode(parts).alias("pos", "paragraph"))
-    return p.withColumn("bare", F.trim(F.regexp_replace("paragraph", r"^[\s#>*\-\d.]+", "")))
+    return p.withColumn("bare", F.trim(F.regexp_replace("paragraph", PREFIX, "")))
 
 
 def _lacks_citation(bare: Column) -> Column:

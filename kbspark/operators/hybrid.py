@@ -18,6 +18,8 @@ from kbspark.functions.text import query_terms
 KEY = ["query_id", "chunk_id"]
 #: Patterns and phrases of question forms (fixed values).
 LIST_QUERY = "(哪些|列出|罗列|支持哪些|适配|有哪些|分别|清单|列表|表格|字段|包含)"
+CHANNELS, CHANNEL_FIELD, CHANNEL_SECTION = ("distribution_channels", "channel_drafts[]"), "渠道|适配|平台", "渠道适配|分发渠道"
+MARKERS = ("|", "、", "；", "\n- ", "\n* ")
 PLATFORM = "(?i)(tiktok|instagram|reddit|twitter/x|twitter|x)"
 RELATION = "关系|关联|联系|区别|不同|差异|对比|比较"
 RELATION_QUERY = f"((和|与|跟|及|以及).*({RELATION}))|(({RELATION}).*(和|与|跟|及|以及))"
@@ -102,17 +104,17 @@ def structure_boost(hits: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     kind = F.lower(F.coalesce("kind", F.lit("")))
     platforms = F.regexp_count(text, F.lit(PLATFORM))
-    markers = sum((F.contains(text, F.lit(m)).cast("int") for m in ("|", "、", "；", "\n- ", "\n* ")), F.lit(0))
+    markers = sum((F.contains(text, F.lit(m)).cast("int") for m in MARKERS), F.lit(0))
     boost = F.when(kind.isin("table", "list_item"), 0.14).when(kind.isin("heading", "title"), 0.08).when((kind == "paragraph") & (F.length(text) > 280), -0.04).otherwise(0.0)
     boost = boost + F.when(markers >= 2, 0.05).otherwise(0.0)
     boost = boost + F.when(platforms >= 2, F.lit(0.18) + F.when(kind == "list_item", 0.08).otherwise(0.0) + F.when(platforms >= 4, 0.12).otherwise(0.0)).otherwise(0.0)
-    channel = F.contains(text, F.lit("distribution_channels")) | F.contains(text, F.lit("channel_drafts[]"))
+    channel = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in CHANNELS])
     boost = boost + F.when((platforms == 0) & channel, -0.08).otherwise(0.0)
     for name in ("section_title", "heading_path", "table_headers"):
         if name in hits.columns:
             f = F.lower(F.coalesce(name, F.lit("")))
             one = F.when(F.exists("terms_", lambda t, f=f: F.contains(f, t)), 0.05).otherwise(0.0)
-            one = one + F.when(f.rlike("渠道|适配|平台"), 0.08).otherwise(0.0) + F.when(f.rlike("渠道适配|分发渠道"), 0.08).otherwise(0.0)
+            one = one + F.when(f.rlike(CHANNEL_FIELD), 0.08).otherwise(0.0) + F.when(f.rlike(CHANNEL_SECTION), 0.08).otherwise(0.0)
             boost = boost + F.when(f != "", one).otherwise(0.0)
     return _boosted(hits.withColumn("terms_", terms), F.when(q.rlike(LIST_QUERY), boost).otherwise(0.0)).drop("terms_")
 

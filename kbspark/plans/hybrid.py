@@ -14,6 +14,7 @@ from kbspark.operators import vectors as V
 from kbspark.plans.base import BM25, CORPUS, STOP, corpus, query, questions, table
 from kbspark.plans.documents import bm25_hits
 from kbspark.plans.vectors import COSINE_SQL, collection, query_vectors
+from kbspark.sources.shared import shared_folder, written
 
 
 def vec_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -27,8 +28,10 @@ def lex_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fused(spark: SparkSession, d: str) -> DataFrame:
+    """Query n has the vector of row 20 n and the text of benchmark item n; the two are tied by number only."""
     lex = lex_hits(spark, d).drop("bm25_normalised", "exact_match_bonus")
-    return H.finalise_scores(H.weighted(vec_hits(spark, d), lex))
+    hits = H.finalise_scores(H.weighted(vec_hits(spark, d), lex))
+    return written(hits, f"{shared_folder(spark)}/hits-{spark.sparkContext.applicationId}")  # some plans read them two or three times
 
 
 def full_hits(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,7 @@ from kbspark.operators import understanding as U
 from kbspark.plans.answers import _choose, _choose_sql
 from kbspark.plans.base import BM25, query, questions, table
 from kbspark.plans.documents import bm25_hits
-from kbspark.sources.shared import shared_folder
+from kbspark.sources.shared import shared_folder, written
 from kbspark.streaming import limits as J
 from kbspark.streaming import stateful as S
 
@@ -194,6 +194,26 @@ def policy(spark: SparkSession, d: str) -> DataFrame:
     return U.answer_policy(rows).select("query_id", "response_mode", "decision")
 
 
+@query("F9_chain", f"""WITH {GATE}, {ROUTE}, hn AS (SELECT query_id AS item, chunk_id, n, count(*) FILTER (ok) AS m FROM hw GROUP BY ALL),
+  ev AS (SELECT item, count(*) FILTER (CASE WHEN item % 2 = 1 THEN m = n ELSE n = 1 OR m >= greatest(2, ceil(n / 2)) END) AS accepted, count(*) FILTER (m > 0) AS near FROM hn GROUP BY item),
+  j AS (SELECT rd.query_id, rd.n, route, CASE WHEN s.sufficient THEN 'grounded' WHEN coalesce(near, 0) > 0 THEN 'partial' ELSE 'missing' END AS st, coalesce(accepted, 0) AS accepted, rd.n % 3 = 0 OR route = 'RETRIEVE' AS strict
+    FROM rd LEFT JOIN sf s ON s.query_id = rd.n LEFT JOIN ev ON ev.item = rd.n WHERE rd.query_id LIKE 'i%'),
+  m AS (SELECT *, CASE WHEN route = 'LIVE_UNSUPPORTED' THEN 'live_unsupported' WHEN st = 'missing' THEN CASE WHEN strict THEN 'knowledge_no_evidence' ELSE 'auto_fallback' END
+    WHEN st = 'partial' THEN CASE WHEN accepted > 0 THEN 'evidence_partial' WHEN strict THEN 'knowledge_no_evidence' ELSE 'auto_partial' END ELSE 'auto' END AS response_mode FROM j)
+  SELECT query_id, route, st AS evidence_status, response_mode, CASE WHEN response_mode = 'live_unsupported' THEN 'LIVE_UNSUPPORTED' WHEN response_mode = 'knowledge_no_evidence' THEN 'NO_EVIDENCE' WHEN response_mode = 'evidence_partial' THEN 'RETRIEVE'
+    WHEN response_mode IN ('auto_fallback', 'auto_partial') THEN 'DIRECT' WHEN route = 'RETRIEVE' AND st = 'grounded' THEN 'RETRIEVE' WHEN route = 'REUSE' THEN 'REUSE' ELSE 'DIRECT' END AS decision FROM m""")
+def answered(spark: SparkSession, d: str) -> DataFrame:
+    """Routing, evidence gate, filters and policy in one chain over all benchmark items."""
+    req, hits = gate_input(spark, d)
+    hits = written(hits, f"{shared_folder(spark)}/hits-{spark.sparkContext.applicationId}")
+    count = lambda df, name: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name))
+    ev = V.evidence_gate(req, hits).join(count(V.filter_evidence(hits, req), "accepted_count"), "query_id", "left").join(count(V.weak_context(hits, req), "near"), "query_id", "left")
+    r = U.route(asked(spark, d)).where("query_id LIKE 'i%'").join(ev.withColumnRenamed("query_id", "n"), "n", "left")
+    status = F.when(F.col("sufficient"), "grounded").when(F.coalesce("near", F.lit(0)) > 0, "partial").otherwise("missing")
+    r = r.withColumns({"evidence_status": status, "accepted_count": F.coalesce("accepted_count", F.lit(0)), "grounding_mode": F.when(F.col("n") % 3 == 0, "knowledge").otherwise("auto")})
+    return U.answer_policy(r).select("query_id", "route", "evidence_status", "response_mode", "decision")
+
+
 @query("F10", r"""SELECT conv_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 32) AS fallback, left(trim(regexp_replace(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[，。！？,.!?:：；; ]+|[，。！？,.!?:：；; ]+$', '', 'g'), '\s+', ' ', 'g')), 32) AS title
   FROM conversations WHERE turn = 0""")
 def conversation_titles(spark: SparkSession, d: str) -> DataFrame:
