@@ -121,7 +121,11 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each item, placed in the given order."""
+    """(bin, offset) of each item, placed in the given order.
+
+    Once there are as many bins as the items fill at least, another is opened only for an item that fits no open one.
+    """
+    enough = -(-int(lengths.sum()) // capacity)
     open_at = np.zeros(capacity + 1, np.int64)  # N(g) for gaps 1 .. capacity - 1
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     bins, offsets, n = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
@@ -135,7 +139,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
             change[0] = 1 - 2 * counts[0]
             change[counts == 0] = never
             g = int(change.argmin())
-            if change[g] <= best and counts[g]:
+            if counts[g] and (change[g] <= best or n >= enough):
                 gap = g + s
         if gap == capacity:
             b, n = n, n + 1

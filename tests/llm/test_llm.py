@@ -122,6 +122,16 @@ def test_stages_keep_columns_with_clashing_names(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0 and toxicity.toxicity(docs(spark, []), lab).count() == 0
 
 
+def test_packing_needs_hardly_more_sequences_than_the_tokens_fill():
+    rng = np.random.default_rng(4)
+    for n in (300, 5_000):
+        lengths = np.sort(np.minimum(rng.lognormal(5.5, 1.2, n).astype(np.int64) + 1, 4096))[::-1]
+        bins, offsets = packing.sum_of_squares(lengths, 4096)
+        ends = np.bincount(bins, lengths)
+        assert ends.max() <= 4096 and bins.max() + 1 <= -(-lengths.sum() // 4096) + 1
+        assert all(np.isin(offsets[bins == b], np.concatenate([[0], np.cumsum(lengths[bins == b])])).all() for b in range(20))
+
+
 # --- 3 line dedup
 
 def similar(a, b):
