@@ -11,8 +11,8 @@ from kbspark.plans.base import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 SOME = [
-    "A5", "A6", "A10", "A11", "A13", "B3", "B4", "B7", "B8", "C2", "C6", "C6_bounds", "C7_merge", "D1", "D2_l2", "D3", "E3", "E7", "E14_scorer", "E18", "E24", "F1", "F4", "F6", "F8_supplement", "F9", "G5", "G7", "G10_control",
-    "H2", "H4", "I2", "I9", "I13", "I18", "I21", "J1", "J2", "J3", "J4",
+    "A5", "A6", "A10", "A11", "B3", "B4", "B7", "B8", "C2", "C6", "C7_merge", "D1", "D2_l2", "D3", "E3", "E7", "E18", "E24", "F1", "F4", "F6", "F8_supplement", "F9", "G5", "G7", "G10_control",
+    "H2", "H4", "I2", "I9", "I13", "I18", "I21", "J2", "J3", "J4",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the test tables")
 
