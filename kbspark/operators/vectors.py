@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 METRICS = ("cosine", "l2", "ip")
 
@@ -59,68 +61,93 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     raise ValueError(f"metric must be one of {METRICS}")
 
 
-def _packed(rows: DataFrame, key: str, vector: str, block: int) -> DataFrame:
-    """(dim, ids, m): vectors of one dimension as matrices of up to ``block`` rows in the order of their ids, packed where they lie.
+#: A vector search is cut into so many groups of rows times groups of queries; each pair of groups, a cell, is a group of its own in the shuffle.
+CELLS = (32, 4)
+QUERY_TILE, ROW_TILE = 256, 4096
 
-    Null vectors and those holding nulls or NaN take no part.
+
+def _nearest(metric: str, k: int, empty: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Rows (c_id, c_vector) and queries (q_id, q_vector) of a cell -> (query_id, id, d): for each query the ``k`` rows at the
+    smallest distances to six digits, smaller ids first.
+
+    Null vectors and those holding nulls or NaN take no part, nor do vectors of other dimensions.  A tile of distances at a time is in memory.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.take(pc.sort_indices(batch.column(0)))
-            ids, vectors = batch.column(0), batch.column(1)
-            sizes = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False)
-            for dim in np.unique(sizes[sizes >= 0]):
-                at = np.flatnonzero(sizes == dim)
-                m = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
-                good = ~np.isnan(m).any(axis=1)
-                at, m = at[good], m[good]
-                for i in range(0, len(at), block):
-                    part = ids.take(pa.array(at[i : i + block]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), pa.array([m[i : i + block].tobytes()], pa.binary())], ["dim", "ids", "m"]
-                    )
-
-    kind = dict(rows.dtypes)[key]
-    return rows.select(key, vector).mapInArrow(run, f"dim int, ids array<{kind}>, m binary")
-
-
-def _nearest(metric: str, k: int) -> Column:
-    """array<struct<q, c, d>>: for each row of matrix ``qm`` the ``k`` rows of ``m`` at the smallest distances to six digits, earlier rows first."""
-
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("q", pa.int32()), ("c", pa.int32()), ("d", pa.float64())]))
-        for dims, left, right in batches:
-            out = []
-            for dim, x, y in zip(dims.to_pylist(), left, right, strict=True):
-                q, c = (np.frombuffer(z.as_buffer(), np.float64).reshape(-1, dim) if dim else np.zeros((1, 0)) for z in (x, y))
-                d = 1 - q @ c.T if metric == "ip" else q @ c.T
-                if metric == "cosine":
-                    norms = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1))[None, :]
-                    d = 1 - np.divide(d, norms, out=np.zeros_like(d), where=norms > 0)
-                elif metric == "l2":
-                    d = np.maximum((q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * d, 0)
-                rounded = np.floor(d * 1e6 + 0.5)
-                order = np.argsort(rounded, axis=1, kind="stable")[:, :k]
-                out.append([{"q": i, "c": int(j), "d": float(d[i, j])} for i, row in enumerate(order) for j in row])
-            yield pa.array(out, kind)
-
-    return F.arrow_udf(run, "array<struct<q:int,c:int,d:double>>")("dim", "qm", "m")
-
-
-def knn(queries: DataFrame, coll: DataFrame, k: int, metric: str = "cosine", condition: Column | None = None, max_distance: float | None = None,
-        block: int = 1024) -> DataFrame:
+    def matrices(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        vectors = column.combine_chunks()
+        sizes, out = pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False), {}
+        for dim in np.unique(sizes[sizes >= 0]):
+            at = np.flatnonzero(sizes == dim)
+            m = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+            good = ~np.isnan(m).any(axis=1)
+            out[int(dim)] = at[good], m[good]
+        return out
+
+    def distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        d = q @ c.T
+        if metric == "cosine":
+            norms = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((c * c).sum(1))[None, :]
+            d = np.divide(d, norms, out=np.zeros_like(d), where=norms > 0)
+        elif metric == "l2":
+            return np.maximum((q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * d, 0)
+        return np.subtract(1, d, out=d)
+
+    def best(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of q, row of c, distance) of the nearest; rows of ``c`` are in the order of their ids."""
+        row, col, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        reach = np.full(len(q), np.inf)
+        for start in range(0, len(c), ROW_TILE):
+            d = distances(q, c[start : start + ROW_TILE])
+            if start == 0 and d.shape[1] > k:
+                reach = np.partition(d, k - 1, axis=1)[:, k - 1] + 2e-6
+            i, j = np.nonzero(~(d > reach[:, None]))  # what is not a number stays, and comes last
+            if len(i):
+                row, col, dist = np.concatenate([row, i]), np.concatenate([col, j + start]), np.concatenate([dist, d[i, j]])
+                rounded = np.floor(dist * 1e6 + 0.5)
+                order = np.lexsort((col, rounded, row))
+                row, col, dist, rounded = row[order], col[order], dist[order], rounded[order]
+                first = np.searchsorted(row, np.arange(len(q)))
+                stays = np.arange(len(row)) - first[row] < k
+                row, col, dist, rounded = row[stays], col[stays], dist[stays], rounded[stays]
+                last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row] == k - 1)
+                reach = np.full(len(q), np.inf)
+                reach[row[last]] = (rounded[last] - 0.5) / 1e6 + 1e-9  # later ones have larger ids, so they have to be nearer
+        return row, col, dist
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        if not rows.num_rows or not queries.num_rows:  # a side without rows has no columns either
+            return empty.empty_table()
+        rows = rows.take(pc.sort_indices(rows["c_id"]))
+        left, right, out = matrices(queries["q_vector"]), matrices(rows["c_vector"]), []
+        for dim in left.keys() & right.keys():
+            (qat, q), (cat, c) = left[dim], right[dim]
+            for start in range(0, len(q), QUERY_TILE):
+                i, j, d = best(q[start : start + QUERY_TILE], c)
+                out.append((qat[i + start], cat[j], d))
+        i, j, d = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (list(zip(*out)) or [()] * 3))
+        return pa.table({"query_id": queries["q_id"].take(pa.array(i)), "id": rows["c_id"].take(pa.array(j)), "d": pa.array(d.astype(np.float64))})
+
+    return run
+
+
+def knn(queries: DataFrame, coll: DataFrame, k: int, metric: str = "cosine", condition: Column | None = None, max_distance: float | None = None) -> DataFrame:
     """(query_id, id, distance, rank) of the ``k`` nearest rows for each query (query_id, embedding).
 
-    Exact.  Both sides are packed into matrices of up to ``block`` rows without a shuffle; a matrix product for each pair of blocks gives the
-    distances, of which ``k`` a query and pair reach the shuffle.  Ids stay out of the arithmetic.  A vector of length zero is at cosine distance 1 from all.
+    Exact.  Rows and queries are dealt out by hashes of their ids, a row to a cell for each group of queries and a query to a cell for each group of
+    rows; matrix products in each cell give the distances, of which ``k`` a query and cell reach the next shuffle.  Ids stay out of the arithmetic.
+    A vector of length zero is at cosine distance 1 from all.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    c = _packed(coll if condition is None else coll.where(condition), "id", "embedding", 4 * block)
-    q = _packed(queries, "query_id", "embedding", block).select("dim", F.col("ids").alias("qids"), F.col("m").alias("qm"))
-    near = c.join(q, "dim").withColumn("near", _nearest(metric, k)).select("ids", "qids", F.explode("near").alias("x"))
-    pairs = near.select(F.get("qids", F.col("x.q")).alias("query_id"), F.get("ids", F.col("x.c")).alias("id"), F.round("x.d", 6).alias("distance"))
+    n, m = CELLS
+    group = lambda key, of: F.pmod(F.xxhash64(key), F.lit(of)).cast("int")
+    c = (coll if condition is None else coll.where(condition)).select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("g"), "id", "embedding")
+    c = c.select((group("id", n) * m + F.col("g")).alias("cell"), F.col("id").alias("c_id"), F.col("embedding").alias("c_vector"))  # new names, as both sides may come from one table
+    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("g"), "query_id", "embedding")
+    q = q.select((F.col("g") * m + group("query_id", m)).alias("cell"), F.col("query_id").alias("q_id"), F.col("embedding").alias("q_vector"))
+    schema = StructType([StructField("query_id", q.schema["q_id"].dataType), StructField("id", c.schema["c_id"].dataType), StructField("d", DoubleType())])
+    near = c.groupBy("cell").cogroup(q.groupBy("cell")).applyInArrow(_nearest(metric, k, to_arrow_schema(schema)), schema)
+    pairs = near.select("query_id", "id", F.round("d", 6).alias("distance"))
     if max_distance is not None:
         pairs = pairs.where(F.col("distance") <= max_distance)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
