@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from kbspark.operators import answers as A
 from kbspark.operators import evaluation as E
 from kbspark.operators import lexical as L
-from kbspark.plans.base import BM25, corpus, query, questions, table
-from kbspark.plans.documents import bm25_hits, index_of
+from kbspark.plans.base import BM25, query, questions, table
+from kbspark.plans.documents import bm25_hits, holding
+from kbspark.sources.shared import shared_folder, written
 
 #: What is put behind an assistant's whole turn, by (conv_id + turn) % 6.
 TAILS = (" [1]", " [1、2] [0] [7, 2]", "", " 1/3=0.34 and 2*3=6 and 5/0=1 [2,3]", "\n\n（注：修正如下）资料未提及", " 很可能 候选片段 [9]")
@@ -160,14 +161,13 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
 # --- evaluation
 
 def results(spark: SparkSession, d: str) -> DataFrame:
-    top = L.lexical_topk(bm25_hits(spark, d), 5)
-    return top.select(F.col("query_id").alias("case_id"), "rank", F.col("chunk_id").alias("doc_id"))
+    top = L.lexical_topk(bm25_hits(spark, d), 5).select(F.col("query_id").alias("case_id"), "rank", F.col("chunk_id").alias("doc_id"))
+    return written(top, f"{shared_folder(spark)}/hits-{spark.sparkContext.applicationId}")  # the metrics read them more than once
 
 
 def expected(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold the whole item, sought among those that hold its rarest token."""
-    pairs = index_of(spark, d).holders(questions(spark, d)).join(questions(spark, d), "query_id").join(corpus(spark, d).select("chunk_id", "text"), "chunk_id")
-    return pairs.where(F.contains("text", F.col("query"))).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("doc_id"))
+    """Documents that hold the whole item."""
+    return holding(spark, d).select(F.col("query_id").alias("case_id"), F.col("chunk_id").alias("doc_id"))
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:

@@ -17,8 +17,10 @@ from kbspark.plans.vectors import COSINE_SQL, collection, query_vectors
 from kbspark.sources.shared import shared_folder, written
 
 
-def vec_hits(spark: SparkSession, d: str) -> DataFrame:
-    near = V.knn(query_vectors(spark, d), collection(spark, d), 15)
+def vec_hits(spark: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
+    """Hits of all query vectors, or of those whose query is in ``asked`` (query_id)."""
+    q = query_vectors(spark, d)
+    near = V.knn(q if asked is None else q.join(asked.select("query_id"), "query_id", "left_semi"), collection(spark, d), 15)
     return near.select("query_id", F.col("id").alias("chunk_id"), F.round(1 - F.col("distance"), 6).alias("vector_score"))
 
 
@@ -27,17 +29,18 @@ def lex_hits(spark: SparkSession, d: str) -> DataFrame:
     return H.normalise_lexical(top.withColumn("exact_match_bonus", F.lit(None).cast("double")))
 
 
-def fused(spark: SparkSession, d: str) -> DataFrame:
+def fused(spark: SparkSession, d: str, asked: DataFrame | None = None) -> DataFrame:
     """Query n has the vector of row 20 n and the text of benchmark item n; the two are tied by number only."""
     lex = lex_hits(spark, d).drop("bm25_normalised", "exact_match_bonus")
-    hits = H.finalise_scores(H.weighted(vec_hits(spark, d), lex))
+    hits = H.finalise_scores(H.weighted(vec_hits(spark, d, asked), lex))
     return written(hits, f"{shared_folder(spark)}/hits-{spark.sparkContext.applicationId}")  # some plans read them two or three times
 
 
 def full_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Fused hits with the question and the chunk's columns."""
+    """Fused hits of the questions, with the question and the chunk's columns."""
     kind = F.element_at(F.array(*map(F.lit, ("paragraph", "table", "list_item", "heading"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return fused(spark, d).join(questions(spark, d), "query_id").join(corpus(spark, d).withColumn("kind", kind), "chunk_id")
+    q = questions(spark, d)
+    return corpus(spark, d).withColumn("kind", kind).join(fused(spark, d, q), "chunk_id").join(q, "query_id")
 
 
 def ranked_hits(spark: SparkSession, d: str) -> DataFrame:
