@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Stop words of the tokeniser (fixed values).
@@ -11,6 +16,7 @@ STOP_WORDS = (
     "那 那些 这些 这个 那个 什么 怎么 为什么 吗 吧 呢 啊 呀 哦 嗯 "
     "is the a an and or of to in for on at by with from as into this that"
 ).split()
+_STOP = set(STOP_WORDS)
 #: Words of a question that say nothing about its subject (fixed values).
 GENERIC_TERMS = (
     "什么 哪些 如何 怎么 为何 为什么 是谁 是什么 是啥 什么意思 一个 一款 一种 东西 玩意 技能 功能 情况 内容 信息 介绍"
@@ -75,6 +81,77 @@ def tokens(text: Column) -> Column:
     return F.when(low.rlike(r"\p{IsHan}"), mixed).otherwise(plain)
 
 
+#: Outside of UNLIKE (Han, and what Java's Unicode may not assign yet) Python's letters and digits are those of Java.
+WORD = re.compile(r"[^\W_]+")
+UNLIKE = r"[\x{860}-\x{10FFFF}&&[^\x{900}-\x{BFF}\x{E00}-\x{16FF}\x{1E00}-\x{2BFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}\x{FE00}-\x{FFEF}\x{1F000}-\x{1FAFF}]]"
+ASCII_WORD = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+#: Texts whose counts leave a task together; tokens counted before they leave it.
+COUNTED_TEXTS, HELD_TERMS = 500, 500_000
+
+
+def _counters(batch: pa.RecordBatch) -> Iterator[Counter]:
+    """For each row (low, cut) how often each word that is no stop word occurs."""
+    for t, cut in zip(batch["low"].to_pylist(), batch["cut"].to_pylist(), strict=True):
+        if cut:
+            n = Counter(t.split())
+        elif t.isascii():
+            n = Counter(t.encode().translate(ASCII_WORD).decode().split())
+        else:
+            n = Counter(WORD.findall(t))
+        for w in n.keys() & _STOP:
+            del n[w]
+        yield n
+
+
+def _lowered(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, low, cut): lower-cased texts, or their tokens joined by spaces where ``cut`` is true."""
+    rows = df.select(*keys, text, F.lower(F.coalesce(text, F.lit(""))).alias("low")).withColumn("cut", F.col("low").rlike(UNLIKE))
+    return rows.select(*keys, F.when(F.col("cut"), F.array_join(tokens(F.col(text)), " ")).otherwise(F.col("low")).alias("low"), "cut")
+
+
+def word_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, dl, words, tfs): how many of the :func:`tokens` of a row are no stop words, which words these are, in order of first occurrence, and how often each occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, COUNTED_TEXTS):
+                part = batch.slice(at, COUNTED_TEXTS)
+                dl, ends, words, tfs = [], [0], [], []
+                for n in _counters(part):
+                    words += n.keys()
+                    tfs += n.values()
+                    dl.append(n.total())
+                    ends.append(len(words))
+                ends = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(words, pa.string())), pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(dl, pa.int32()), *lists], [key, "dl", "words", "tfs"])
+
+    return _lowered(df, text, key).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, dl int, words array<string>, tfs array<int>")
+
+
+def partial_term_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """(token, df, total), several rows a token: rows that hold it, and the length in words of some rows; together, of all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = Counter(), 0
+
+        def flushed() -> pa.RecordBatch:
+            totals = [total] + [0] * (len(held) - 1)
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64()), pa.array(totals, pa.int64())], ["token", "df", "total"])
+
+        for batch in batches:
+            for n in _counters(batch):
+                held.update(n.keys())
+                total += n.total()
+                if len(held) > HELD_TERMS:
+                    yield flushed()
+                    held, total = Counter(), 0
+        if held:
+            yield flushed()
+
+    return _lowered(df, text).mapInArrow(run, "token string, df long, total long")
+
+
 def query_terms(text: Column) -> Column:
     """Distinct tokens of more than one character in order, without stop words and generic terms."""
     drop = sorted({*STOP_WORDS, *GENERIC_TERMS})
