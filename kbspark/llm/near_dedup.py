@@ -136,6 +136,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
     sig = scratch.write(signatures(docs, shingle))
     full = sig.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.write(full.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "signature", "s1", "s2")).alias("r")).select("digest", "r.*"))
+    sig = scratch.write(sig.select("doc_id", "n", "digest"), sig)  # signatures go as soon as nothing needs them
     reps = classes.select(F.col("doc_id").alias("rep"), "n", "signature", "s1", "s2")
     agree = (1 + threshold / 100) / 2
     far = math.ceil(TREES * DEPTH * (1 - agree) + 6 * math.sqrt(TREES * DEPTH * agree * (1 - agree)))
@@ -175,6 +176,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFr
     for c in cells[1:]:
         small = small.unionByName(c)
     small = scratch.write(small, *kept_regions)
+    classes = scratch.write(classes.select("digest", "doc_id"), classes)
     met = small.groupBy("cell").agg(F.collect_list(F.struct(*member)).alias("g")).withColumn("x", F.array_min("g"))
     star = f"transform(filter(g, y -> y.rep > x.rep AND {may}), y -> struct(x.rep AS a, y.rep AS b))"
     pairs = scratch.write(met.select(F.expr(f"inline({star})")).distinct())
