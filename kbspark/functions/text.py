@@ -89,7 +89,7 @@ ASCII_WORD = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256)
 COUNTED_TEXTS, HELD_TERMS = 500, 500_000
 
 
-def _counters(batch: pa.RecordBatch) -> Iterator[Counter]:
+def counters(batch: pa.RecordBatch) -> Iterator[Counter]:
     """For each row (low, cut) how often each word that is no stop word occurs."""
     for t, cut in zip(batch["low"].to_pylist(), batch["cut"].to_pylist(), strict=True):
         if cut:
@@ -103,7 +103,7 @@ def _counters(batch: pa.RecordBatch) -> Iterator[Counter]:
         yield n
 
 
-def _lowered(df: DataFrame, text: str, *keys: str) -> DataFrame:
+def lowered(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, low, cut): lower-cased texts, or their tokens joined by spaces where ``cut`` is true."""
     rows = df.select(*keys, text, F.lower(F.coalesce(text, F.lit(""))).alias("low")).withColumn("cut", F.col("low").rlike(UNLIKE))
     return rows.select(*keys, F.when(F.col("cut"), F.array_join(tokens(F.col(text)), " ")).otherwise(F.col("low")).alias("low"), "cut")
@@ -117,7 +117,7 @@ def word_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
             for at in range(0, batch.num_rows, COUNTED_TEXTS):
                 part = batch.slice(at, COUNTED_TEXTS)
                 dl, ends, words, tfs = [], [0], [], []
-                for n in _counters(part):
+                for n in counters(part):
                     words += n.keys()
                     tfs += n.values()
                     dl.append(n.total())
@@ -126,7 +126,7 @@ def word_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
                 lists = [pa.ListArray.from_arrays(ends, pa.array(words, pa.string())), pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(dl, pa.int32()), *lists], [key, "dl", "words", "tfs"])
 
-    return _lowered(df, text, key).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, dl int, words array<string>, tfs array<int>")
+    return lowered(df, text, key).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, dl int, words array<string>, tfs array<int>")
 
 
 def partial_term_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -140,7 +140,7 @@ def partial_term_counts(df: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64()), pa.array(totals, pa.int64())], ["token", "df", "total"])
 
         for batch in batches:
-            for n in _counters(batch):
+            for n in counters(batch):
                 held.update(n.keys())
                 total += n.total()
                 if len(held) > HELD_TERMS:
@@ -149,7 +149,7 @@ def partial_term_counts(df: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield flushed()
 
-    return _lowered(df, text).mapInArrow(run, "token string, df long, total long")
+    return lowered(df, text).mapInArrow(run, "token string, df long, total long")
 
 
 def query_terms(text: Column) -> Column:

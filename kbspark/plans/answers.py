@@ -9,7 +9,7 @@ from kbspark.operators import answers as A
 from kbspark.operators import evaluation as E
 from kbspark.operators import lexical as L
 from kbspark.plans.base import BM25, query, questions, table
-from kbspark.plans.documents import bm25_hits, holding
+from kbspark.plans.documents import bm25_top, holding
 from kbspark.sources.shared import shared_folder, written
 
 #: What is put behind an assistant's whole turn, by (conv_id + turn) % 6.
@@ -161,7 +161,7 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
 # --- evaluation
 
 def results(spark: SparkSession, d: str) -> DataFrame:
-    top = L.lexical_topk(bm25_hits(spark, d), 5).select(F.col("query_id").alias("case_id"), "rank", F.col("chunk_id").alias("doc_id"))
+    top = bm25_top(spark, d, 5).select(F.col("query_id").alias("case_id"), "rank", F.col("chunk_id").alias("doc_id"))
     return written(top, f"{shared_folder(spark)}/hits-{spark.sparkContext.applicationId}")  # the metrics read them more than once
 
 

@@ -12,7 +12,7 @@ from kbspark.operators import hybrid as H
 from kbspark.operators import lexical as L
 from kbspark.operators import vectors as V
 from kbspark.plans.base import BM25, CORPUS, STOP, corpus, query, questions, table
-from kbspark.plans.documents import bm25_hits
+from kbspark.plans.documents import bm25_top
 from kbspark.plans.vectors import COSINE_SQL, collection, query_vectors
 from kbspark.sources.shared import shared_folder, written
 
@@ -25,7 +25,7 @@ def vec_hits(spark: SparkSession, d: str, asked: DataFrame | None = None) -> Dat
 
 
 def lex_hits(spark: SparkSession, d: str) -> DataFrame:
-    top = L.lexical_topk(bm25_hits(spark, d), 20).select("query_id", "chunk_id", "bm25_score")
+    top = bm25_top(spark, d, 20).select("query_id", "chunk_id", "bm25_score")
     return H.normalise_lexical(top.withColumn("exact_match_bonus", F.lit(None).cast("double")))
 
 
