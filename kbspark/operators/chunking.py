@@ -43,16 +43,23 @@ def _level(x: str, sep: str, size: str, last: bool) -> str:
 def split_recursive(text: str, size: str, separators: tuple[str, ...] = SEPARATORS) -> Column:
     """array<string> of the column named ``text``, cut at the first separator and, where pieces stay too long, at the next ones.
 
-    A piece without any separator stays whole.  Text that was emitted is not emitted again.
+    A piece without any separator stays whole.  Text that was emitted is not emitted again.  Both columns are variables
+    of an outer function, as what they stand for would else be computed anew for every piece.
     """
-    out = _level(text, separators[0], size, len(separators) == 1)
+    out = _level("row.text", separators[0], "row.size", len(separators) == 1)
     for n, sep in enumerate(separators[1:], 2):
-        out = f"flatten(transform({out}, x{n} -> {_level(f'x{n}', sep, size, n == len(separators))}))"
-    return F.expr(out)
+        out = f"flatten(transform({out}, x{n} -> {_level(f'x{n}', sep, 'row.size', n == len(separators))}))"
+    return F.expr(f"transform(array(named_struct('text', {text}, 'size', {size})), row -> {out})[0]")
 
 
 def merge_small(pieces: Column, size: Column | int, joiner: str = "\n\n") -> Column:
     """Neighbours joined by ``joiner`` (their touching white space dropped) while they fit."""
+    size = size if isinstance(size, Column) else F.lit(size)
+    row = F.array(F.struct(pieces.alias("pieces"), size.alias("size")))  # computed once, not for every piece
+    return F.transform(row, lambda r: _merged(r["pieces"], r["size"], joiner))[0]
+
+
+def _merged(pieces: Column, size: Column, joiner: str) -> Column:
     right = lambda c: F.regexp_replace(c, r"(?U)\s+$", "")
     left = lambda c: F.regexp_replace(c, r"(?U)^\s+", "")
 
@@ -68,10 +75,17 @@ def merge_small(pieces: Column, size: Column | int, joiner: str = "\n\n") -> Col
     return F.aggregate(pieces, F.expr(START), step, lambda acc: F.when(acc["cur"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"])))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: one behind a generator is not put in wherever its name stands, nor into the filters before another generator."""
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(F.struct(value.alias("v")))).alias("once_")).select(*rest, F.col("once_.v").alias(name))
+
+
 def recursive_chunks(docs: DataFrame, size: int = 512, overlap: int = 100, max_tokens: int | None = None) -> DataFrame:
     """(doc_id, idx, text): recursive split, merge of small neighbours, overlap; with ``max_tokens`` long chunks are cut again."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("size_", F.lit(size))
-    pieces = rows.withColumn("p_", split_recursive("text", "size_")).select("doc_id", F.posexplode(merge_small(F.col("p_"), F.col("size_"))).alias("idx", "text"))
+    rows = once(rows, "p_", merge_small(split_recursive("text", "size_"), F.col("size_")))
+    pieces = rows.select("doc_id", F.posexplode("p_").alias("idx", "text"))
     pieces = add_overlap(pieces, size, overlap)
     return pieces if max_tokens is None else resplit(pieces, max_tokens, max(overlap // 2, 10))
 
@@ -89,10 +103,10 @@ def resplit(chunks: DataFrame, max_tokens: int, overlap: int, separators: tuple[
     A chunk that cannot be cut at any remaining separator stays as it is.
     """
     rest = separators[1:] if len(separators) > 1 else separators
-    c = chunks.withColumn("t_", estimate_tokens(F.col("text"))).withColumn("size_", F.greatest(F.floor(F.length("text") * (F.lit(max_tokens) / F.greatest("t_", F.lit(1))) * 0.9).cast("int"), F.lit(50)))
-    over = F.col("t_") > max_tokens
-    c = c.withColumn("p_", F.when(over, split_recursive("text", "size_", rest)))
-    c = c.withColumn("p_", F.when(over, merge_small(F.col("p_"), F.col("size_"))).otherwise(F.array("text")))
+    c = once(once(chunks, "text", F.col("text")), "t_", estimate_tokens(F.col("text")))
+    c = once(c, "size_", F.greatest(F.floor(F.length("text") * (F.lit(max_tokens) / F.greatest("t_", F.lit(1))) * 0.9).cast("int"), F.lit(50)))
+    cut = merge_small(split_recursive("text", "size_", rest), F.col("size_"))
+    c = once(c, "p_", F.when(F.col("t_") > max_tokens, cut).otherwise(F.array("text")))
     order = Window.partitionBy("doc_id").orderBy("idx", "sub")
     out = c.select("doc_id", "idx", "size_", F.posexplode("p_").alias("sub", "text"))
     before = F.lag("text").over(Window.partitionBy("doc_id", "idx").orderBy("sub"))
