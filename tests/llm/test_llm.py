@@ -483,3 +483,30 @@ def test_quick_verdict_agrees_with_edit_distance(spark):
     assert not [n for n, near in truth.items() if near and n not in got]
     assert not [n for n, alike in got.items() if alike and not truth[n]]
     assert sum(1 for a in got.values() if a) > 60 and len(got) < 260
+
+
+def test_lines_that_share_a_passage_become_few_pairs(spark, monkeypatch):
+    """Under keys that a common passage fills, the pairs that are compared grow with the lines, not with their square; a similar pair among them is found."""
+    rng = random.Random(31)
+    passage = words(rng, 30, 5000)
+    lines = [[*words(rng, 8, 10**6), *passage, *words(rng, 8, 10**6)] for _ in range(300)]
+    lines.append([*lines[150][:3], "edit", *lines[150][4:]])
+    compared = []
+    verdict = line_dedup.verdict
+    monkeypatch.setattr(line_dedup, "verdict", lambda pairs: compared.append(pairs.count()) or verdict(pairs))
+    out = line_dedup.line_dedup(docs(spark, [" ".join(line) for line in lines])).collect()
+    assert [r.doc_id for r in out if r.n_dropped] == [300] and sum(compared) < 20 * len(lines)
+
+
+def test_bounds_settle_long_lines_of_repeated_words(spark):
+    """Runs of one word that are shorter in the other line, a repeated passage with an edit in each copy, and common ends cut off: all as the distance says."""
+    run = lambda n, at: " ".join(w for i, w in enumerate(["alpha", "beta", "gamma"]) for _ in range(n + (i == at)))
+    block = "one two three four five six seven eight nine ten eleven twelve"
+    pairs = [(0, run(150, 9), run(148, 1)), (1, " ".join([block] * 40), " ".join([block.replace("three", "threesome")] * 39)), (2, "a" * 50 + "bcd" + "e" * 50, "a" * 50 + "e" * 50), (3, "ab" * 60, "ab" * 59)]
+    df = spark.createDataFrame(pairs, "n long, ta string, tb string").withColumn("most", line_dedup.most_edits(F.greatest(F.length("ta"), F.length("tb"))))
+    got = {r.n: r.alike for r in line_dedup.verdict(df).collect()}
+    assert got[0] and got[1]
+    cut = line_dedup.trimmed(df.withColumn("alike", F.lit(None).cast("boolean")))
+    truth = {r.n: r.d for r in df.select("n", F.levenshtein("ta", "tb").alias("d")).collect()}
+    assert {r.n: r.d for r in cut.select("n", F.levenshtein("ta", "tb").alias("d")).collect()} == truth
+    assert {r.n: len(r.ta) + len(r.tb) for r in cut.where("n >= 2").collect()} == {2: 3, 3: 2}
