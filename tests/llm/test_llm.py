@@ -510,3 +510,11 @@ def test_bounds_settle_long_lines_of_repeated_words(spark):
     truth = {r.n: r.d for r in df.select("n", F.levenshtein("ta", "tb").alias("d")).collect()}
     assert {r.n: r.d for r in cut.select("n", F.levenshtein("ta", "tb").alias("d")).collect()} == truth
     assert {r.n: len(r.ta) + len(r.tb) for r in cut.where("n >= 2").collect()} == {2: 3, 3: 2}
+
+
+def test_lines_of_documents_with_short_ids(spark):
+    """Ids of a narrower type, and none at all, find their lines again."""
+    texts = ["one two three four five six seven eight nine ten eleven twelve", "one two three four five six seven eight nine ten eleven twelves"]
+    df = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (None, texts[0])], "doc_id int, text string")
+    out = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(df).collect()}
+    assert out == {None: 0, 1: 1, 2: 1}
